@@ -20,12 +20,17 @@ def _shard(n: int) -> str:
     return f"CAST(list_position([{scores}], list_max([{scores}])) - 1 AS INTEGER)"
 
 
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i))"
+_BYTES = "list_transform(range(1, length(digits) + 1, 2), lambda i: CAST('0x' || substr(digits, i, 2) AS BIGINT))"
+_CRC = f"xor(list_reduce({_BYTES}, lambda c, b: xor(c >> 8, steps[1 + (xor(c, b) & 255)]), 4294967295), 4294967295)"
+
 SQL = {
     "op10_rendezvous_sharding": f"""
-WITH base AS (
-  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, encode(coalesce(text, '')) AS body, coalesce(CAST(doc_id AS VARCHAR), '') AS key FROM documents),
+WITH table_ AS (SELECT {_CRC_TABLE} AS steps),
+base AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS digits, coalesce(CAST(doc_id AS VARCHAR), '') AS key FROM documents),
 dealt AS (SELECT *, {_hash('key')} AS h, {_shard(sharding.SHARDS)} AS shard, {_shard(sharding.SHARDS + 1)} AS grown_shard FROM base)
-SELECT doc_id, size, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS slot, grown_shard FROM dealt
+SELECT doc_id, size, CAST({_CRC} AS BIGINT) AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS slot, grown_shard FROM dealt, table_
 """,
     "op5_recompression_dedup": r"""
 WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
