@@ -50,7 +50,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     gc.collect()
     spark._jvm.System.gc()  # Spark drops shuffles as their plans are collected
-    return spark.read.schema(schema).parquet(to)
+    made = spark.read.schema(schema).parquet(to)
+    made.written_to = to
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables from written() that nothing will read again: all that came of them must be written by now."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlmill.llm.common import bounded_batches, pieces, texts, written
+from crawlmill.llm.common import bounded_batches, discard, pieces, texts, written
 
 WINDOW = 13
 ROUNDS = 2
@@ -235,11 +235,14 @@ def window_hashes(names: np.ndarray, starts: np.ndarray, window: int) -> tuple[n
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, rounds_: int = ROUNDS) -> DataFrame:
-    """doc, th, spans: for documents with windows that also start in a smaller document, the runs (at, n) of such windows."""
+    """doc, th, spans: for documents with windows that also start in a smaller document, the runs (at, n) of such windows.
+
+    Each step is written, and the tables it was made of are deleted."""
     found = written(anchor_table(docs, window, rounds_), "anchors")
     keys = found.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min("run").alias("r0"), F.max("run").alias("r1"))
     shared = written(keys.where("least < most").select("key", "least", (F.col("r0") == F.col("r1")).alias("sure")), "shared")
     revealed = written(found.drop("run").join(shared, "key").where("not sure or doc > least").select("doc", "th", "at", "n", "sure"), "revealed")
+    discard(found, shared)
     sure = revealed.where("sure").select("doc", "th", "at", "n")
     unsure = revealed.where("not sure").groupBy("doc", "th").agg(F.collect_list(F.struct("at", "n")).alias("runs"))  # of one document
 
@@ -256,7 +259,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, rounds_: int = ROUNDS) -> Dat
     rows = written(near.mapInArrow(windows, "a long, b long, doc long, th long, at long"), "windows")
     first = rows.groupBy("a", "b").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
     verified = rows.join(first, ["a", "b"]).where("doc > least").select("doc", "th", "at", F.lit(1).alias("n"))
-    return sure.unionByName(verified).groupBy("doc", "th").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    spans = written(sure.unionByName(verified).groupBy("doc", "th").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "spans")
+    discard(revealed, rows)
+    return spans
 
 
 def keep_mask(n: int, spans: list, window: int = WINDOW) -> np.ndarray:
