@@ -78,7 +78,8 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius != RADIUS:
         raise ValueError("three parts serve radius 3")
     v = variants(prints)
-    a, b = v.alias("a"), v.alias("b")
+    # both sides are 131 times what Spark expects of them: never broadcast
+    a, b = v.hint("merge").alias("a"), v.alias("b")
     apart = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
     # of the up to 44 meetings of a pair over two parts: centres that are equal, or flips of different bits (one may be none)
     meets = ((F.col("a.flipped") < 0) & (F.col("b.flipped") < 0)) | (F.col("a.flipped") < F.col("b.flipped"))
