@@ -57,16 +57,20 @@ def symbols(text: str) -> np.ndarray:
     return s[(s != 0) | np.append(True, s[:-1] != 0)]
 
 
-def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of a text, as numbers, and how often each occurs; empty without letters."""
+def codes_of(text: str) -> np.ndarray:
+    """The number of each n-gram of a text, in order; empty without letters."""
     s = symbols(text)
-    if len(s) < GRAM:
-        return np.array([], np.int64), np.array([], np.int64)
-    n = len(s) - GRAM + 1
+    n = max(0, len(s) - GRAM + 1)
     code = s[:n]
     for k in range(1, GRAM):
         code = code * SYMBOLS + s[k : n + k]
-    if n < 2000:
+    return code
+
+
+def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a text, as numbers, and how often each occurs."""
+    code = codes_of(text)
+    if len(code) < 30_000:
         return np.unique(code, return_counts=True)
     c = np.bincount(code, minlength=1)
     found = np.flatnonzero(c)
@@ -141,12 +145,15 @@ def learn(docs: DataFrame, label: str = "lang", dimensions: int = DIMENSIONS) ->
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(c[found], pa.float64())], ["lang", "gram", "n"])
 
         for batch in pieces(batches):
+            by_lang: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                codes, n = grams(text)
-                if len(codes):
-                    if lang not in held and len(held) >= 64:
-                        yield out(next(iter(held)))
-                    held.setdefault(lang, np.zeros(GRAMS))[codes] += np.round(n * (1e6 / n.sum()))  # whole numbers: sums don't depend on their order
+                if len(codes := codes_of(text)):
+                    by_lang.setdefault(lang, []).append(codes)
+            for lang, some in by_lang.items():
+                if lang not in held and len(held) >= 64:
+                    yield out(next(iter(held)))
+                each = np.repeat([round(1e9 / len(x)) for x in some], [len(x) for x in some])  # whole numbers: sums don't depend on their order
+                held[lang] = held.get(lang, 0) + np.bincount(np.concatenate(some), each, GRAMS)
         for lang in list(held):
             yield out(lang)
 

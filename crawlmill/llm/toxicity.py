@@ -40,6 +40,7 @@ LOOK_COST, REPEAT_COST, DROP_COST, BREAK_COST = 1.0, 0.5, 1.0, 3.0
 _EDGE = re.compile(r"^[^\w@$!|+€£]+|[^\w@$|+€£]+$|^([^\w])\1{2,}|([^\w])\2{2,}$")
 _LEET = re.compile(r"[^\W\d_].*[0-9@$!|+€£]|[0-9@$!|+€£].*[^\W\d_]", re.S)
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_RUN = re.compile(r"(?:^|\s)[^\s|](?:\s+[^\s|]){2,}(?:\s|$)")
 _SPACED = re.compile(r"^[^\W_](?:[.\-_*~][^\W_]){2,}$")
 
 
@@ -50,9 +51,9 @@ def letter_model(docs: DataFrame) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = np.zeros(langid.GRAMS, np.int64)
         for batch in pieces(batches):
-            for text in batch.column("text").to_pylist():
-                codes, n = langid.grams(text or "")
-                c[codes] += n
+            some = [langid.codes_of(t) for t in batch.column("text").to_pylist() if t]
+            if some:
+                c += np.bincount(np.concatenate(some), minlength=langid.GRAMS)
         found = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(c[found], pa.int64())], ["gram", "n"])
 
@@ -140,6 +141,20 @@ def terms(word: str) -> list[str]:
     return ["=" + word] + [word[:n] for n in STEMS if len(word) >= n]
 
 
+class _Strengths(dict):
+    """The strength of words as they are written; of several words in one, their sum."""
+
+    def __init__(self, scorer: Scorer):
+        super().__init__()
+        self.scorer = scorer
+
+    def __missing__(self, token: str) -> float:
+        if len(self) > 500_000:
+            self.clear()
+        got = self[token] = sum(self.scorer.strength(w) for w in self.scorer.known["restorer"].word(token).split())
+        return got
+
+
 @dataclass
 class Scorer:
     model: np.ndarray
@@ -151,23 +166,19 @@ class Scorer:
         return max((self.lexicon.get(t, 0.0) for t in terms(word)), default=0.0)
 
     def features(self, text: str | None) -> tuple[float, float, float]:
+        """The strongest written word, the logarithm of all strengths' sum, and that of their share of the words."""
         if "restorer" not in self.known:
-            self.known |= {"restorer": Restorer(self.model), "words": {}}
-        seen = self.known["words"]
-        if len(seen) > 300_000:
-            seen.clear()
-        strongest = total = 0.0
-        n = 0
-        for w in self.known["restorer"].words(text or ""):
-            n += 1
-            s = seen.get(w)
-            if s is None:
-                s = seen[w] = self.strength(w)
-            if s:
-                total += s
-                if s > strongest:
-                    strongest = s
-        return strongest, float(np.log1p(total)), float(np.log1p(100 * total / n)) if n else 0.0
+            self.known |= {"restorer": Restorer(self.model), "tokens": _Strengths(self)}
+        text = text or ""
+        written_words = text.lower().split()
+        if not written_words:
+            return 0.0, 0.0, 0.0
+        if _RUN.search(text):
+            values = [self.strength(w) for w in self.known["restorer"].words(text)] or [0.0]
+        else:
+            values = list(map(self.known["tokens"].__getitem__, written_words))
+        total = sum(values)
+        return max(values), float(np.log1p(total)), float(np.log1p(100 * total / len(written_words)))
 
     def score(self, text: str | None) -> float:
         if not len(self.weights):
