@@ -98,12 +98,9 @@ class Prototypes:
     langs: list[str]
     vectors: np.ndarray  # a unit vector each
 
-    def __post_init__(self) -> None:
-        self.known = {}
 
-
-#: Bound vectors a worker keeps, at most.
-KEPT_GRAMS = 1 << 15
+#: Bound vectors a worker keeps, at most. They belong to the worker, not to prototypes: those come and go with each query.
+KEPT_GRAMS = 1 << 14
 
 
 def similarity(text: str | None, of: Prototypes) -> np.ndarray | None:
@@ -111,8 +108,8 @@ def similarity(text: str | None, of: Prototypes) -> np.ndarray | None:
     codes, n = grams(text or "")
     if not len(codes) or not of.langs:
         return None
-    cache = of.known
-    if "rows" not in cache:
+    cache = _made.setdefault(("kept", of.vectors.shape[1]), {})
+    if not cache:
         cache |= {"place": np.full(GRAMS, -1, np.int32), "rows": np.zeros((KEPT_GRAMS, of.vectors.shape[1]), np.float32), "used": 0}
     place = cache["place"]
     new = codes[place[codes] < 0]

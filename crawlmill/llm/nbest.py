@@ -115,7 +115,7 @@ class Lattice:
         """Ids of the best segmentation as bytes, their number, its score, and the loss of the second best (infinite if there is none)."""
         got = self.known.get(s)
         if got is None:
-            if len(self.known) > 600_000:
+            if len(self.known) > 250_000:
                 self.known.clear()
             ends = self.edges(s)
             best = self.forward(ends)
@@ -164,7 +164,7 @@ class Lattice:
     def _list(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         got = self.lists.get(part)
         if got is None or len(got) < n:
-            if len(self.lists) > 100_000:
+            if len(self.lists) > 50_000:
                 self.lists.clear()
             got = self.lists[part] = self.search(part, n)
         return got[:n]

@@ -24,7 +24,7 @@ CAPACITY = 4096
 END = 2
 _held: dict = {}
 #: Words whose ids a worker remembers, at most; then it starts anew.
-MEMORY = 1_000_000
+MEMORY = 300_000
 
 
 def encoder(path: str):
@@ -46,7 +46,7 @@ def encoder(path: str):
         new = list({w for words in split for w in words} - known.keys())
         if len(known) + len(new) > MEMORY:
             known.clear()
-            new = list({w for words in split for w in words})
+            new = list({w for words in split for w in words})  # one batch's words always fit
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
             for w, e in zip(part, tok.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):

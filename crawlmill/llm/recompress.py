@@ -45,7 +45,7 @@ class _Names(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh3_64_intdigest as xxh
 
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h = xxh(word) or 1
         return h

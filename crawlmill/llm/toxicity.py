@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +114,7 @@ class Restorer:
 
     def words(self, text: str) -> Iterator[str]:
         """The restored words of a text, in order."""
-        if len(self.known) > 300_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         single: list[str] = []
         for w in text.lower().split():
@@ -141,6 +141,9 @@ def terms(word: str) -> list[str]:
     return ["=" + word] + [word[:n] for n in STEMS if len(word) >= n]
 
 
+_current: dict = {}
+
+
 class _Strengths(dict):
     """The strength of words as they are written; of several words in one, their sum."""
 
@@ -149,9 +152,9 @@ class _Strengths(dict):
         self.scorer = scorer
 
     def __missing__(self, token: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
-        got = self[token] = sum(self.scorer.strength(w) for w in self.scorer.known["restorer"].word(token).split())
+        got = self[token] = sum(self.scorer.strength(w) for w in _current["restorer"].word(token).split())
         return got
 
 
@@ -160,23 +163,24 @@ class Scorer:
     model: np.ndarray
     lexicon: dict[str, float]
     weights: np.ndarray
-    known: dict = field(default_factory=dict)
 
     def strength(self, word: str) -> float:
         return max((self.lexicon.get(t, 0.0) for t in terms(word)), default=0.0)
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """The strongest written word, the logarithm of all strengths' sum, and that of their share of the words."""
-        if "restorer" not in self.known:
-            self.known |= {"restorer": Restorer(self.model), "tokens": _Strengths(self)}
+        if _current.get("of") is not self:
+            _current.clear()  # what a worker remembers for one scorer ends with the next
+            _current.update({"of": self, "restorer": Restorer(self.model)})
+            _current["tokens"] = _Strengths(self)
         text = text or ""
         written_words = text.lower().split()
         if not written_words:
             return 0.0, 0.0, 0.0
         if _RUN.search(text):
-            values = [self.strength(w) for w in self.known["restorer"].words(text)] or [0.0]
+            values = [self.strength(w) for w in _current["restorer"].words(text)] or [0.0]
         else:
-            values = list(map(self.known["tokens"].__getitem__, written_words))
+            values = list(map(_current["tokens"].__getitem__, written_words))
         total = sum(values)
         return max(values), float(np.log1p(total)), float(np.log1p(100 * total / len(written_words)))
 
