@@ -4,9 +4,10 @@ A forward Viterbi pass gives the best score from the text's start to every place
 what a partial path from the end costs plus the forward score of its place is the score of its best completion, so A* yields whole paths in
 the order of their scores and never expands a path that isn't part of an answer or next to one.
 
-Places between two characters that no piece spans cut the lattice into parts whose segmentations are chosen independently. Each distinct part
-is searched once by a worker. The N best of a text use, besides each part's best, only the parts with the N - 1 smallest second-best losses;
-the A* search over those parts' alternatives gives the N best of the whole text, however long it is.
+Places between two characters that no piece spans cut the lattice into parts whose segmentations are chosen independently; no piece goes on
+into a word's leading space. Each distinct word is looked at once by a worker. The N best of a text use, besides each word's best, only the
+words with the N - 1 smallest second-best losses; the A* search over those words' alternatives gives the N best of the whole text, however
+long it is.
 
 Texts are escaped as the model does it: a space before the text, spaces as U+2581. Characters without a piece become their UTF-8 bytes.
 
@@ -31,7 +32,9 @@ SPACE = "▁"
 BEST = 4
 #: How far below the least score of any piece but mere spaces a character without a piece scores.
 UNKNOWN_LOSS = 10.0
-_models: dict[str, "Lattice"] = {}
+#: Parts and words that a worker remembers, at most; then it starts anew.
+KEPT_PARTS, KEPT_WORDS = 600_000, 500_000
+_models: dict[str, Lattice] = {}
 
 
 class Lattice:
@@ -54,22 +57,47 @@ class Lattice:
         self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.known: dict[str, tuple] = {}
         self.lists: dict[str, list] = {}
+        self.words, self.spaced = _Known(self, ""), _Known(self, SPACE)
+        self.lines = not any("\n" in pair for pair in self.joined)
 
-    def parts(self, text: str) -> list[str]:
-        """The escaped text, cut wherever no piece spans two characters."""
-        if not text:
-            return []
-        s = SPACE + text.replace(" ", SPACE)
-        out = []
-        for word in _words(s):
-            a = 0
-            for i in range(1, len(word)):
-                if word[i - 1 : i + 1] not in self.joined:
-                    out.append(word[a:i])
-                    a = i
-            out.append(word[a:])
+    def parts(self, word: str) -> list[str]:
+        """A word, cut wherever no piece spans two characters."""
+        out, a = [], 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in self.joined:
+                out.append(word[a:i])
+                a = i
+        out.append(word[a:])
         return out
 
+    def found(self, text: str) -> tuple[list[str], list[tuple]]:
+        """The words of the escaped text, spaces before them included, and what is known of each. Empty without a text."""
+        if not text:
+            return [], []
+        words: list[str] = []
+        known: list[tuple] = []
+        for k, line in enumerate(text.split("\n") if self.lines else [text]):
+            if k:
+                words.append("\n")
+                known.append(self.words["\n"])
+            if "  " in line or line[-1:] == " " or line[:1] == " " or SPACE in line:
+                some = list(_words((SPACE if not k else "") + line.replace(" ", SPACE)))
+                words += some
+                known += map(self.words.__getitem__, some)
+                continue
+            first, *rest = line.split(" ")
+            if not k or first:
+                words.append(first if k else SPACE + first)
+                known.append(self.words[words[-1]])
+            words += rest
+            known += map(self.spaced.__getitem__, rest)
+        return words, known
+
+    def _of(self, word: str) -> tuple:
+        """ids, their number, score, least loss, the word and its text, from the word's parts."""
+        some = [self.summary(x) for x in self.parts(word)]
+        return b"".join(x[0] for x in some), sum(x[1] for x in some), sum(x[2] for x in some), min(x[3] for x in some), word
+
     def edges(self, s: str) -> list[list[tuple[int, float]]]:
         """For each end the (start, score) of the pieces that end there."""
         scores, n = self.scores, len(s)
@@ -114,51 +142,67 @@ class Lattice:
     def summary(self, s: str) -> tuple[bytes, int, float, float]:
         """Ids of the best segmentation as bytes, their number, its score, and the loss of the second best (infinite if there is none)."""
         got = self.known.get(s)
-        if got is None:
-            if len(self.known) > 250_000:
-                self.known.clear()
-            ends = self.edges(s)
-            best = self.forward(ends)
-            n = len(s)
-            back = [-np.inf] * (n + 1)
-            back[n] = 0.0
-            for j in range(n, 0, -1):
-                for i, v in ends[j]:
-                    if back[j] + v > back[i]:
-                        back[i] = back[j] + v
-            path, j = set(), n
-            ids: list[int] = []
-            while j:
-                i, v = max(((i, v) for i, v in ends[j]), key=lambda e: (best[e[0]] + e[1], e[0]))
-                path.add((i, j))
-                ids[:0] = [self.ids[s[i:j]]] if s[i:j] in self.ids else [self.bytes[b] for b in s[i:j].encode("utf-8", "replace")]
-                j = i
-            second = max((best[i] + v + back[j] for j in range(1, n + 1) for i, v in ends[j] if (i, j) not in path), default=-np.inf)
-            got = self.known[s] = (np.array(ids, "<u4").tobytes(), len(ids), best[n], best[n] - second)
+        if got is not None:
+            return got
+        if len(self.known) > KEPT_PARTS:
+            self.known.clear()
+        get, longest, n = self.scores.get, self.longest, len(s)
+        best, start = [0.0] * (n + 1), [0] * (n + 1)
+        edges: list[tuple[int, int, float]] = []
+        for j in range(1, n + 1):
+            top = -np.inf
+            for i in range(j - longest if j > longest else 0, j):
+                v = get(s[i:j])
+                if v is None:
+                    if i + 1 < j or s[i] in self.scores:
+                        continue
+                    v = self.least
+                edges.append((i, j, v))
+                x = best[i] + v
+                if x >= top:
+                    top, start[j] = x, i
+            best[j] = top
+        on, j, ids = [False] * (n + 1), n, []
+        while j:
+            i, on[j] = start[j], True
+            piece = s[i:j]
+            ids[:0] = [self.ids[piece]] if piece in self.ids else [self.bytes[b] for b in piece.encode("utf-8", "replace")]
+            j = i
+        back, second = [-np.inf] * n + [0.0], -np.inf
+        for i, j, v in reversed(edges):
+            x = back[j] + v
+            if x > back[i]:
+                back[i] = x
+            if not (on[j] and start[j] == i) and best[i] + x > second:
+                second = best[i] + x
+        got = self.known[s] = (b"".join([x.to_bytes(4, "little") for x in ids]), len(ids), best[n], best[n] - second)
         return got
 
     def best(self, text: str | None, n: int = BEST) -> list[tuple[float, bytes]]:
         """The n best segmentations of a text: score and ids as little-endian unsigned 32-bit numbers."""
-        parts = self.parts(text or "")
-        found = [self.summary(p) for p in parts]
-        base = float(sum(f[2] for f in found))
-        loss = np.fromiter((f[3] for f in found), float, len(found))
-        near = np.argsort(loss, kind="stable")[: n - 1]
-        near = np.sort(near[np.isfinite(loss[near])])
-        choices = [self._list(parts[k], n) for k in near]
-        # the lattice of these parts: the best of the parts before is the forward score, so its loss is none
-        out: list[tuple[float, bytes]] = []
+        _, found = self.found(text or "")
+        base = float(sum([f[2] for f in found]))
+        loss = np.array([f[3] for f in found])
+        near = np.sort(np.argsort(loss, kind="stable")[: n - 1]) if len(loss) < 4 * n else np.sort(np.argpartition(loss, n - 2)[: n - 1])
+        near = near[np.isfinite(loss[near])] if len(near) else near
+        choices = [self._list(found[k][4], n) for k in near]
+        # the lattice of these words: the best of those before is the forward score, so its loss is none
+        picked: list[tuple[float, tuple]] = []
         heap: list[tuple] = [(0.0, 0, len(near), ())]
         made = 0
-        while heap and len(out) < n:
+        while heap and len(picked) < n:
             lost, _, k, chosen = heapq.heappop(heap)
             if not k:
-                swapped = dict(zip(near.tolist(), chosen))
-                out.append((base - lost, b"".join(np.array(swapped[i], "<u4").tobytes() if i in swapped else f[0] for i, f in enumerate(found))))
+                picked.append((lost, chosen))
                 continue
             for score, ids in choices[k - 1]:
                 made += 1
                 heapq.heappush(heap, (lost + choices[k - 1][0][0] - score, -made, k - 1, (ids, *chosen)))
+        whole, out = [f[0] for f in found], []
+        for lost, chosen in picked:
+            for k, ids in zip(near, chosen):
+                whole[k] = np.array(ids, "<u4").tobytes()
+            out.append((base - lost, b"".join(whole)))
         return out
 
     def _list(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -174,6 +218,20 @@ class Lattice:
         return b"".join(self.text.get(int(i), b"") for i in ids).decode("utf-8", "replace").removeprefix(" ")
 
 
+class _Known(dict):
+    """By word without its leading space: what the lattice knows of the word with it."""
+
+    def __init__(self, of: Lattice, space: str):
+        super().__init__()
+        self.of, self.space = of, space
+
+    def __missing__(self, word: str) -> tuple:
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        got = self[word] = self.of._of(self.space + word)
+        return got
+
+
 def _words(s: str) -> Iterator[str]:
     """Spaces stay with the word after them: no piece has a space behind another character."""
     at, n = 0, len(s)
@@ -205,10 +263,14 @@ def segmentations(docs: DataFrame, model: str, n: int = BEST, ids: bool = False)
         for batch in pieces(batches):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                back: dict[bytes, bool] = {}
                 for k, (score, packed) in enumerate(of.best(text, n), 1):
-                    numbers = np.frombuffer(packed, "<u4")
-                    back = b"".join(map(of.text.__getitem__, numbers.tolist())).decode("utf-8", "replace").removeprefix(" ")
-                    rows.append((doc, k, score, len(numbers), zlib.crc32(packed), back == (text or ""), numbers.tolist() if ids else None)[: len(names)])
+                    numbers = np.frombuffer(packed, "<u4").tolist()
+                    said = b"".join(map(of.text.__getitem__, numbers))
+                    ok = back.get(said)
+                    if ok is None:
+                        ok = back[said] = said.decode("utf-8", "replace").removeprefix(" ") == (text or "")
+                    rows.append((doc, k, score, len(numbers), zlib.crc32(packed), ok, numbers if ids else None)[: len(names)])
             kinds = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
             cols = list(zip(*rows)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
