@@ -30,7 +30,7 @@ def authority_of(url: Column) -> Column:
 
 
 def _without_port(scheme: Column, bare: Column) -> Column:
-    return let(F.struct(scheme.alias("s"), bare.alias("b")), lambda x: F.when(x["s"] == "http", F.regexp_replace(x["b"], ":(80)?$", "")).when(x["s"] == "https", F.regexp_replace(x["b"], ":(443)?$", "")).otherwise(x["b"]))
+    return let(F.named_struct(F.lit("s"), scheme, F.lit("b"), bare), lambda x: F.when(x["s"] == "http", F.regexp_replace(x["b"], ":(80)?$", "")).when(x["s"] == "https", F.regexp_replace(x["b"], ":(443)?$", "")).otherwise(x["b"]))
 
 
 def host_of(url: Column) -> Column:
@@ -56,7 +56,7 @@ def without_dots(path: Column) -> Column:
 
 
 def _parts(url: Column) -> Column:
-    return F.struct(scheme_of(url).alias("s"), authority_of(url).alias("a"), path_of(url).alias("p"), _part(url, 4).alias("q"), is_web(url).alias("web"))
+    return F.named_struct(F.lit("s"), scheme_of(url), F.lit("a"), authority_of(url), F.lit("p"), path_of(url), F.lit("q"), _part(url, 4), F.lit("web"), is_web(url))
 
 
 def normalize_url(url: Column) -> Column:
@@ -84,7 +84,7 @@ def resolve_url(base: Column, href: Column) -> Column:
             .otherwise(let(F.when(h.startswith("/"), F.concat(whole, h)).otherwise(F.concat(whole, F.regexp_replace(b["p"], "[^/]*$", ""), h)), clean)),
         )
 
-    return let(F.struct(let(base, _parts).alias("b"), F.trim(href).alias("h")), made)
+    return let(F.named_struct(F.lit("b"), let(base, _parts), F.lit("h"), F.trim(href)), made)
 
 
 def normalized_or_trimmed(url: Column) -> Column:
@@ -94,7 +94,7 @@ def normalized_or_trimmed(url: Column) -> Column:
 
 def urls_equivalent(a: Column, b: Column) -> Column:
     """Equal normalised; if either can't be, equal but for white space around them."""
-    pair = F.struct(a.alias("a"), b.alias("b"), normalize_url(a).alias("m"), normalize_url(b).alias("n"))
+    pair = F.named_struct(F.lit("a"), a, F.lit("b"), b, F.lit("m"), normalize_url(a), F.lit("n"), normalize_url(b))
     return let(pair, lambda x: F.coalesce(x["m"] == x["n"], F.trim(x["a"]) == F.trim(x["b"])))
 
 
@@ -104,7 +104,7 @@ def bare_host(url: Column) -> Column:
 
 def is_same_domain(url: Column, root: Column) -> Column:
     """Hosts are equal but for a leading www.; true if the root has none, false if only the url has none."""
-    return let(F.struct(bare_host(url).alias("u"), bare_host(root).alias("r")), lambda x: (x["r"] == "") | (x["u"] == x["r"]))
+    return let(F.named_struct(F.lit("u"), bare_host(url), F.lit("r"), bare_host(root)), lambda x: (x["r"] == "") | (x["u"] == x["r"]))
 
 
 def is_another_spelling(url: Column, root: Column) -> Column:

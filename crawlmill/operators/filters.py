@@ -298,7 +298,9 @@ def site_name(pages: DataFrame) -> DataFrame:
 
 
 def with_facts(pages: DataFrame) -> DataFrame:
-    """pages with the facts of FACTS, and with _indexable and _eligible, which follow from them."""
+    """pages with the facts of FACTS, and with _indexable and _eligible, which follow from them; pages that have them stay as they are."""
+    if "_eligible" in pages.columns:
+        return pages
     known = pages.withColumns({k: f() for k, f in FACTS.items()})
     good = p.yes(c("status").between(200, 299)) & ~c("_redirect") & ~c("_noindex") & ~c("_canonicalised")
     return known.withColumns({"_indexable": good, "_eligible": c("_document") & ~c("_noindex") & ~c("_canonicalised")})

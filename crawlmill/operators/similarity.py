@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 c = F.col
@@ -74,6 +74,8 @@ def near_duplicates(docs: DataFrame, key: str, text: str, threshold: int = THRES
     both = pairs.select(c("a").alias("k"), c("b").alias("other"), "distance").unionByName(pairs.select(c("b").alias("k"), c("a").alias("other"), "distance"))
     told = both.join(hashes, "k").join(hashes.select(c("k").alias("other"), c("hash").alias("other_hash")), "other")
     near = ~((c("distance") == 0) & (c("hash") == c("other_hash")))
-    listed = F.slice(F.sort_array(F.collect_list(F.when(near, c("other")))), 1, MOST_LISTED)
+    place = F.row_number().over(Window.partitionBy("k").orderBy(F.when(near, 0).otherwise(1), "other"))
+    told = told.withColumn("place", place)
+    listed = F.sort_array(F.collect_list(F.when(near & (c("place") <= MOST_LISTED), c("other"))))
     out = told.groupBy("k").agg(F.max(F.floor((64 - c("distance")) * 100 / 64)).cast("int").alias("closest_similarity"), F.count_if(near).alias("near_duplicate_count"), listed.alias("near_duplicates"))
     return out.where("near_duplicate_count > 0").withColumnRenamed("k", key)

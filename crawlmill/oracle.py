@@ -196,3 +196,98 @@ now AS (SELECT * FROM d WHERE is_internal),"""
 j AS (SELECT coalesce(a.url, b.url) AS change_url, CASE WHEN b.url IS NULL THEN 'Added' WHEN a.url IS NULL THEN 'Removed' ELSE 'Changed' END AS change_kind, b.status AS status_before, a.status AS status_after, CAST(NULL AS VARCHAR) AS layout_change,
   CASE WHEN a.url IS NULL OR b.url IS NULL THEN '' ELSE {detail} END AS change_detail FROM now a FULL OUTER JOIN older b ON a.url = b.url)
 SELECT * FROM j WHERE change_kind <> 'Changed' OR change_detail <> ''"""
+
+
+def _outlinks() -> str:
+    return "links AS (SELECT row_id, url AS src, unnest(outlinks) AS x FROM d), ln AS (SELECT row_id, src, x.dst_url AS dst, x.csr_only AS csr, " + f"{host('x.dst_url')} = {host('src')} AS internal FROM links)"
+
+
+def inlinks() -> str:
+    return f"WITH d AS ({select(Dialect(True))}), {_outlinks()} SELECT dst AS url, count(*) AS inlinks, count(DISTINCT src) AS unique_inlinks, count(*) FILTER (csr) AS csr_inlinks, count(DISTINCT src) FILTER (csr) AS unique_csr_inlinks FROM ln GROUP BY dst"
+
+
+def outlinks() -> str:
+    parts = ", ".join(f"count(*) FILTER ({cond}) AS {n}, count(DISTINCT dst) FILTER ({cond}) AS unique_{n}" for n, cond in (("outlinks", "true"), ("external_outlinks", "NOT internal"), ("csr_outlinks", "csr"), ("external_csr_outlinks", "csr AND NOT internal")))
+    return f"WITH d AS ({select(Dialect(True))}), {_outlinks()} SELECT src AS url, {parts} FROM ln GROUP BY src"
+
+
+def depths() -> str:
+    return f"""WITH RECURSIVE d AS ({select(Dialect(True))}), {_outlinks()},
+edge AS (SELECT DISTINCT {norm("src")} AS src, {norm("dst")} AS dst FROM ln UNION SELECT {norm("url")}, {norm("redirect_url")} FROM d WHERE coalesce(redirect_url, '') <> ''),
+walk AS (SELECT {norm("url")} AS node, 0 AS depth FROM d WHERE row_id = 1 UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edge e ON e.src = w.node WHERE w.depth < 60)
+SELECT d.url, min(w.depth) AS depth FROM d JOIN walk w ON w.node = {norm("d.url")} GROUP BY d.url, d.row_id"""
+
+
+def page_rank(steps: int = 30) -> str:
+    loops = "".join(
+        f""",
+r{k} AS MATERIALIZED (SELECT n.node, 0.15 / n.n + 0.85 * (coalesce(i.v, 0) + l.v / n.n) AS s FROM nodes n LEFT JOIN (SELECT dst AS node, sum(w * s / o) AS v FROM edge JOIN outs USING (src) JOIN r{k - 1} ON r{k - 1}.node = edge.src GROUP BY 1) i USING (node)
+  CROSS JOIN (SELECT coalesce(sum(s), 0) AS v FROM r{k - 1} WHERE node NOT IN (SELECT src FROM outs)) l)"""
+        for k in range(1, steps + 1)
+    )
+    return f"""WITH d AS MATERIALIZED ({select(Dialect(True))}), {_outlinks()},
+edge AS MATERIALIZED (SELECT src, dst, count(*) AS w FROM ln WHERE internal GROUP BY 1, 2), outs AS MATERIALIZED (SELECT src, sum(w) AS o FROM edge GROUP BY 1),
+nodes AS MATERIALIZED (SELECT node, count(*) OVER () AS n FROM (SELECT src AS node FROM edge UNION SELECT dst FROM edge)),
+r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / n AS s FROM nodes){loops}
+SELECT node, round(s / (SELECT max(s) FROM r{steps}) * 100, 4) AS score FROM r{steps}"""
+
+
+def hreflang() -> str:
+    return f"""WITH d AS ({select(Dialect(True))}),
+k AS (SELECT row_id, url, {norm("url")} AS me, canonical, hreflang_tags, list_transform(hreflang_tags, lambda x: {norm("x.url")}) AS back FROM d),
+p AS (SELECT me AS dest, arg_max(back, row_id) AS back, arg_max(coalesce(canonical, ''), row_id) AS canonical FROM k GROUP BY 1),
+t AS (SELECT row_id, url, me, unnest(hreflang_tags) AS x FROM k), t2 AS (SELECT row_id, url, me, x.lang AS lang, x.url AS target_url, {norm("x.url")} AS dest FROM t),
+m AS (SELECT t2.*, p.back, CASE WHEN starts_with(p.canonical, '/') THEN regexp_extract(target_url, '^([a-z]+://[^/?#]*)', 1) || p.canonical ELSE p.canonical END AS resolved FROM t2 JOIN p USING (dest))
+SELECT row_id, url, 'MissingXDefault' AS kind, NULL AS lang, NULL AS target_url FROM t2 GROUP BY 1, 2 HAVING NOT bool_or(lang = 'x-default')
+UNION ALL SELECT row_id, url, 'MissingSelfReference', NULL, NULL FROM t2 GROUP BY 1, 2 HAVING NOT bool_or(lang <> 'x-default' AND dest = me)
+UNION ALL SELECT row_id, url, 'InvalidLanguageCode', lang, NULL FROM t2 WHERE lang = 'xx-yy'
+UNION ALL SELECT row_id, url, 'MissingReturnTag', lang, target_url FROM m WHERE NOT list_contains(back, me)
+UNION ALL SELECT row_id, url, 'NonCanonicalUrl', NULL, target_url FROM m WHERE trim(resolved) <> '' AND {norm("resolved")} <> dest"""
+
+
+def near_duplicates() -> str:
+    votes = ", ".join(f"sum(CASE WHEN (h >> {b}) & 1 = 1 THEN 1 ELSE -1 END) AS b{b}" for b in range(64))
+    packed = " | ".join(f"CASE WHEN b{b} > 0 THEN 1::UBIGINT << {b} ELSE 0::UBIGINT END" for b in range(64))
+    return f"""WITH w AS (SELECT doc_id, md5(coalesce(text, '')) AS hash, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+v AS (SELECT doc_id, {votes} FROM (SELECT doc_id, ('0x' || substr(md5(s), 1, 16))::UBIGINT AS h FROM s) GROUP BY doc_id),
+f AS MATERIALIZED (SELECT w.doc_id, w.hash, coalesce({packed}, 0::UBIGINT) AS f FROM w LEFT JOIN v USING (doc_id)),
+pair AS (SELECT a.doc_id, b.doc_id AS other, bit_count(xor(a.f, b.f)) AS distance, bit_count(xor(a.f, b.f)) = 0 AND a.hash = b.hash AS same FROM f a JOIN f b ON a.doc_id <> b.doc_id AND bit_count(xor(a.f, b.f)) <= 7)
+SELECT doc_id, CAST(max((64 - CAST(distance AS INTEGER)) * 100 // 64) AS INTEGER) AS closest_similarity, count(*) FILTER (NOT same) AS near_duplicate_count, array_to_string(list_slice(list_sort(list(other) FILTER (NOT same)), 1, 50), ',') AS near_duplicates
+FROM pair GROUP BY doc_id HAVING count(*) FILTER (NOT same) > 0"""
+
+
+def url_functions() -> str:
+    return f"""SELECT page_id, {norm("url")} AS normalized, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin,
+  regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || regexp_replace(regexp_replace({path("url")}, '[^/]*$', ''), '[^/]*/$', '') || 'x/y?z=1' AS resolved,
+  CAST(greatest(length({path("url")}) - length(replace({path("url")}, '/', '')) - 1, 0) AS INTEGER) AS folder_depth, {host("url")} = 'tionsh.example.com' AS same_domain FROM pages"""
+
+
+def row_filter() -> str:
+    return crawl() + "SELECT row_id, url AS address, title FROM e WHERE is_internal AND (status IS NOT NULL OR redirect_url IS NOT NULL) AND coalesce(size_bytes, 0) >= 1500 AND contains(lower(trim(title)), 'acme') AND coalesce(status, 0) IN (200, 404) AND NOT ends_with(lower(url), '/') AND contains(lower(concat_ws(' ', url, title)), 'example')"
+
+
+def gtins() -> str:
+    digits = "lpad(CAST(p_partkey * 7919 % 10000000000000 AS VARCHAR), 13, '0')"
+    total = f"list_sum(list_transform(range(1, 14), lambda i: CAST(substr({digits}, i, 1) AS INT) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END))"
+    return f"SELECT p_partkey, {total} % 10 = 0 AS valid FROM part"
+
+
+def pixel_widths() -> str:
+    def width(text: str, ascii_: str, em: int, size: int) -> str:
+        return f"CAST(floor(list_sum(list_transform(string_split({text}, ''), lambda x: ([{', '.join(ascii_.split())}])[ord(x) - 31])) * {size}.0::DOUBLE / {em} + 0.5) AS INTEGER)"
+
+    return f"SELECT p_partkey, {width('p_name', t.TITLE_ASCII, 1000, 22)} AS title_width, {width('p_name', t.TEXT_ASCII, 2048, 14)} AS text_width FROM part"
+
+
+PREVIOUS = """SELECT o_orderkey AS id, last_value(CASE WHEN o_orderstatus <> 'P' THEN o_orderkey END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_id FROM orders"""
+EVENTS = "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+FACTS = r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
+  trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS h1,
+  len(regexp_extract_all(html, '<a href="/')) AS outlinks, regexp_matches(html, '(?i)<body([\s>/]|$)') AS has_body_tag FROM pages"""
+
+
+def badge_parts() -> str:
+    """One-page filters of the growing crawl's counts."""
+    parts = [f"SELECT '{v}' AS view_name, '{n}' AS filter_name, count(*) FILTER ({condition(v, n)}) AS n FROM e WHERE {VIEWS[v][0]}" for v in VIEWS for n in VIEWS[v][1] if not f.FILTERS[v][n].cross]
+    return crawl() + " UNION ALL ".join(parts)

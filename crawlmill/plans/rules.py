@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from crawlmill.functions import predicates as p
 from crawlmill.operators import filters
+from crawlmill.operators.graph import cut
 from crawlmill.plans import views
 
 c = F.col
@@ -143,6 +144,7 @@ def _with_document_counts(pages: DataFrame) -> DataFrame:
 
 def overview(pages: DataFrame) -> DataFrame:
     """rule_no, issue_name, issue_type, priority, count, population, pct (of the population, 2 decimals): a row for each of the 79 rules."""
+    pages = cut(filters.with_facts(pages))  # a dozen branches read the facts
     by_page = [r for r in RULES if r.view != "Images"]
     enriched = _with_document_counts(filters.enrich(pages, {f"{r.view}.{r.filter}" for r in by_page if r.view}))
     # the conditions become columns, a bit each, before they are added up: one narrow pass instead of one vast expression
@@ -197,7 +199,7 @@ def compared(now: DataFrame, then: DataFrame) -> DataFrame:
 def badges(pages: DataFrame) -> DataFrame:
     """view_name, total, errors, warnings: rows of each page view, those that an error filter selects, and those that only warnings do."""
     names = list(filters.PAGE_VIEWS)
-    enriched = filters.enrich(pages)
+    enriched = filters.enrich(cut(filters.with_facts(pages)))
     masks = []
     for v in names:
         inside = p.yes(views.VIEWS[v].base())

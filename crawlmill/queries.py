@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from crawlmill import oracle
-from crawlmill.operators import changes, filters
+from crawlmill.functions import text, urls
+from crawlmill.operators import changes, extract, filters, graph, hreflang, rowfilter, similarity
 from crawlmill.plans import rules, views
+from crawlmill.schema import complete
+from crawlmill.sources import store
 from crawlmill.sources.derived import before, crawl
+from crawlmill.streaming import counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,3 +34,68 @@ query("badges", lambda s, d: rules.badges(crawl(s, d)), oracle.badges())
 query("view_images", lambda s, d: views.view(crawl(s, d), "Images"), oracle.images())
 query("view_site_structure", lambda s, d: views.view(crawl(s, d), "SiteStructure"), oracle.directories())
 query("changes", lambda s, d: changes.changes(crawl(s, d), before(crawl(s, d))), oracle.changes())
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return out.select("page_id", "title", "h1", F.size("outlinks").cast("long").alias("outlinks"), "has_body_tag")
+
+
+def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+        "page_id", urls.normalize_url(u).alias("normalized"), urls.host_of(u).alias("host"), urls.origin_of(u).alias("origin"), urls.resolve_url(u, F.lit("../x/./y?z=1")).alias("resolved"),
+        urls.folder_depth(urls.path_of(u)).alias("folder_depth"), urls.is_same_domain(u, F.lit("https://tionsh.example.com/")).alias("same_domain"),
+    )
+
+
+def _row_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    C = rowfilter.Condition
+    some = views.view(crawl(spark, sf_dir), "Internal")
+    wanted = [C("size", ">=", "1500"), C("title", "contains", "ACME"), C("status_code", "in", "200, 404"), C("address", "not_contains", ""), C("nothing", "equals", "x")]
+    out = rowfilter.row_filter(some, wanted, search="Example").where(~F.lower(F.col("address")).endswith("/"))
+    return rowfilter.sort_by(out, "size", descending=True).select("row_id", "address", "title")
+
+
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = similarity.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    return out.withColumn("near_duplicates", F.array_join(F.transform("near_duplicates", lambda x: x.cast("string")), ","))
+
+
+def _previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawls = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("root_url"), F.col("o_orderdate").alias("started_at"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("finished_at"), F.lit(False).alias("aborted"))
+    return store.previous(crawls).select("id", "previous_id")
+
+
+def _gtins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select("p_partkey", text.gtin_is_valid(F.lpad((F.col("p_partkey") * 7919 % 10_000_000_000_000).cast("string"), 13, "0")).alias("valid"))
+
+
+def _widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select("p_partkey", text.title_pixel_width(F.col("p_name")).alias("title_width"), text.description_pixel_width(F.col("p_name")).alias("text_width"))
+
+
+def _root(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    pages = crawl(spark, sf_dir)
+    return pages, pages.where("row_id = 1").first()["url"]
+
+
+query("extract_facts", _facts, oracle.FACTS)
+query("url_functions", _urls, oracle.url_functions())
+query("gtin_checksums", _gtins, oracle.gtins())
+query("pixel_widths", _widths, oracle.pixel_widths())
+query("row_filter", _row_filter, oracle.row_filter())
+query("inlinks", lambda s, d: graph.inlinks(graph.links(crawl(s, d))), oracle.inlinks())
+query("outlinks", lambda s, d: graph.outlinks(graph.links(crawl(s, d))), oracle.outlinks())
+query("click_depth", lambda s, d: graph.page_depths(*_root(s, d)), oracle.depths())
+query("page_rank", lambda s, d: graph.page_rank(graph.links(crawl(s, d)).where("internal")).withColumn("score", F.round("score", 4)), oracle.page_rank())
+query("hreflang_issues", lambda s, d: hreflang.issues(crawl(s, d)), oracle.hreflang())
+query("near_duplicates", _near, oracle.near_duplicates())
+query("event_windows", lambda s, d: counts.event_windows(s.read.parquet(f"{d}/events.parquet")).withColumn("total", F.round("total", 4)), oracle.EVENTS)
+query("previous_crawls", _previous, oracle.PREVIOUS)
+query("filter_counts", lambda s, d: counts.filter_counts(crawl(s, d), cross=False), oracle.badge_parts())
+for _view in views.VIEWS:
+    if _view != "Images":
+        query(f"view_{_view.lower()}", lambda s, d, v=_view: views.view(complete(crawl(s, d)), v))

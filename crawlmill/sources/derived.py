@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from crawlmill.operators.graph import cut
+
 
 class Dialect:
     """How one engine spells nested values."""
@@ -100,9 +102,9 @@ FROM p1"""
 
 
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived page records of a folder's pages table."""
+    """The derived page records of a folder's pages table, stored once as a finished crawl is."""
     spark.read.parquet(f"{sf_dir}/pages.parquet").createOrReplaceTempView("derived_pages_source")
-    return spark.sql(select(Dialect(False), "derived_pages_source"))
+    return cut(spark.sql(select(Dialect(False), "derived_pages_source")))
 
 
 def before(pages: DataFrame) -> DataFrame:
