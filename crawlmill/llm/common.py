@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +64,24 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_forget: dict[str, Callable[[], None]] = {}
+_running: list[str] = []
+
+
+def begin(operator: str, forget: Callable[[], None]) -> None:
+    """Called by a worker as it starts a task: what it remembers for other operators goes, and freed memory goes back to the system."""
+    _forget[operator] = forget
+    if _running != [operator]:
+        for other, drop in _forget.items():
+            if other != operator:
+                drop()
+        _running[:] = [operator]
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     """The texts of a batch as UTF-8 bytes."""
     at = batch.column(batch.schema.get_field_index(column))

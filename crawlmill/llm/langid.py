@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlmill.llm.common import bounded_batches, pieces, texts
+from crawlmill.llm.common import begin, bounded_batches, pieces
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -134,6 +134,7 @@ def learn(docs: DataFrame, label: str = "lang", dimensions: int = DIMENSIONS) ->
     bounded_batches(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("langid", _made.clear)
         held: dict[str, np.ndarray] = {}
 
         def out(lang: str) -> pa.RecordBatch:
@@ -184,6 +185,7 @@ def predict(docs: DataFrame, of: Prototypes, held_out: Column | None = None) ->
     shared = docs.sparkSession.sparkContext.broadcast(of)  # dimensions numbers a language
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("langid", _made.clear)
         for batch in pieces(batches):
             got = [_guess(t, shared.value) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
@@ -198,6 +200,7 @@ def identified(docs: DataFrame, of: Prototypes, least_score: float = 0.15) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(of)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("langid", _made.clear)
         for batch in pieces(batches):
             got = [_guess(t, shared.value) for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in got], pa.bool_()))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlmill.llm.common import bounded_batches, pieces, texts
+from crawlmill.llm.common import begin, bounded_batches, pieces, texts
 
 WIDTH = 64
 TILE = 32
@@ -150,6 +150,7 @@ def store(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("media", dict)
         for batch in pieces(batches):
             media, sizes = [], []
             for t in texts(batch):
@@ -181,6 +182,7 @@ def featured(media: DataFrame, key: str = "doc_id", tiles: bool = False) -> Data
         return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), *whole, difference_hash(grey(a)), hashlib.sha256(small).hexdigest(), None, small
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("media", dict)
         for batch in pieces(batches):
             rows = list(zip(*map(row, texts(batch, "media")))) or [[]] * 9
             cols = [pa.array(c, k) for c, k in zip(rows, kinds)] + [pa.array(rows[8], pa.binary())] * tiles

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlmill.llm.common import bounded_batches, pieces
+from crawlmill.llm.common import begin, bounded_batches, pieces
 
 SPACE = "▁"
 BEST = 4
@@ -259,6 +259,7 @@ def segmentations(docs: DataFrame, model: str, n: int = BEST, ids: bool = False)
     names = ["doc_id", "rank", "score", "n_pieces", "ids_crc32", "decodes"] + ["ids"] * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("nbest", _models.clear)
         of = lattice(model)
         for batch in pieces(batches):
             rows = []

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlmill.llm.common import bounded_batches, pieces, texts, written
+from crawlmill.llm.common import begin, bounded_batches, pieces, texts, written
 
 CAPACITY = 4096
 END = 2
@@ -72,6 +72,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = EN
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * ids
 
     def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("packing", _held.clear)
         encode = encoder(tokenizer)
         for batch in pieces(batches):
             cols: list[list] = [[] for _ in names]
@@ -104,6 +105,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     base = counts.select("length", "part", F.coalesce(before, F.lit(0)).alias("base"), F.coalesce(within, F.lit(0)).alias("within"))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("packing", _held.clear)
         seen: Counter = Counter()  # a task reads one part's rows in order
         for batch in batches:
             place = []

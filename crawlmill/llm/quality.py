@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlmill.llm.common import bounded_batches, pieces, texts
+from crawlmill.llm.common import begin, bounded_batches, pieces, texts
 
 #: Character classes by byte of UTF-8; continuation bytes count for nothing, so that a character counts once.
 LOWER, UPPER, DIGIT, SPACE, STOP, SYMBOL, OTHER, LETTER, WIDE, INNER = range(10)
@@ -108,6 +108,7 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin("quality", dict)
     held: dict[str, Counter] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -190,6 +191,7 @@ def judge(docs: DataFrame, ref: References | None = None, limits: Limits = Limit
     held = docs.sparkSession.sparkContext.broadcast(ref or references(docs, limits))  # common_words rows a language
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("quality", dict)
         for batch in pieces(batches):
             rows = [measure(t, lang, held.value, limits) for t, lang in zip(texts(batch), batch.column("lang").to_pylist())]
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlmill.llm.common import bounded_batches, discard, pieces, texts, written
+from crawlmill.llm.common import begin, bounded_batches, discard, pieces, texts, written
 
 WINDOW = 13
 ROUNDS = 2
@@ -77,6 +77,11 @@ def _power(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[base]
 
 
+def forget() -> None:
+    _names.clear()
+    _powers.clear()
+
+
 class Spans:
     """Hashes of any spans of a string of names."""
 
@@ -219,6 +224,7 @@ def anchor_table(docs: DataFrame, window: int = WINDOW, rounds_: int = ROUNDS) -
     bounded_batches(docs.sparkSession)
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("recompress", forget)
         with np.errstate(over="ignore"):
             for names, rows in _chunks(batches, window):
                 head, size, key, run = anchors(names, window, rounds_)
@@ -247,6 +253,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, rounds_: int = ROUNDS) -> Dat
     unsure = revealed.where("not sure").groupBy("doc", "th").agg(F.collect_list(F.struct("at", "n")).alias("runs"))  # of one document
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("recompress", forget)
         for batch in pieces(batches):
             for doc, th, text, runs in zip(batch.column("doc").to_pylist(), batch.column("th").to_pylist(), texts(batch), batch.column("runs").to_pylist()):
                 names = word_names(text.split())
@@ -279,6 +286,7 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds_: int = ROUNDS, keep_t
     joined = _numbered(docs).join(repeats(docs, window, rounds_), ["doc", "th"], "left").select("doc", "th", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("recompress", forget)
         for batch in pieces(batches):
             out = []
             for doc, th, text, spans in zip(batch.column("doc").to_pylist(), batch.column("th").to_pylist(), texts(batch), batch.column("spans").to_pylist()):
@@ -308,6 +316,7 @@ def cut_texts(docs: DataFrame, window: int = WINDOW, rounds_: int = ROUNDS) -> D
     schema = docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("recompress", forget)
         for batch in pieces(batches):
             out = []
             for text, spans in zip(texts(batch), batch.column("__spans").to_pylist()):

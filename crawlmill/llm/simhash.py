@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlmill.llm.common import bounded_batches, pieces, texts, written
+from crawlmill.llm.common import begin, bounded_batches, pieces, texts, written
 
 SHINGLE = 3
 SEED = 42
@@ -50,6 +50,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("simhash", dict)
         for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(t, shingle) for t in texts(batch)], pa.int64())], ["doc_id", "fp"])
 

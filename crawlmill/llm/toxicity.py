@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlmill.llm import langid
-from crawlmill.llm.common import bounded_batches, pieces, written
+from crawlmill.llm.common import begin, bounded_batches, pieces, written
 
 LABELLED = 20_000
 LEXICON = 20_000
@@ -49,6 +49,7 @@ def letter_model(docs: DataFrame) -> np.ndarray:
     bounded_batches(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity", _current.clear)
         c = np.zeros(langid.GRAMS, np.int64)
         for batch in pieces(batches):
             some = [langid.codes_of(t) for t in batch.column("text").to_pylist() if t]
@@ -197,6 +198,7 @@ def restored(docs: DataFrame, model: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SYMBOLS^3 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity", _current.clear)
         r = Restorer(shared.value)
         for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([None if t is None else " ".join(r.words(t)) for t in batch.column("text").to_pylist()], pa.string())], ["doc_id", "restored"])
@@ -229,6 +231,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, l
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity", _current.clear)
         r = Restorer(shared.value)
         for batch in pieces(batches):
             c: dict[str, list[int]] = {}
@@ -248,6 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, l
     held = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity", _current.clear)
         for batch in pieces(batches):
             rows = np.array([held.value.features(t) for t in batch.column("text").to_pylist()]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column("labelled_id"), batch.column("label"), *(pa.array(rows[:, k]) for k in range(3))], ["labelled_id", "label", "a", "b", "c"])
@@ -263,6 +267,7 @@ def scored(docs: DataFrame, scorer: Scorer, held_out: Column | None = None) -> D
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # LEXICON terms and SYMBOLS^3 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity", _current.clear)
         for batch in pieces(batches):
             got = [shared.value.score(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(got, pa.float64()), pa.array([int(s >= 0.5) for s in got], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
@@ -277,6 +282,7 @@ def clean(docs: DataFrame, scorer: Scorer) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity", _current.clear)
         for batch in pieces(batches):
             yield batch.filter(pa.array([shared.value.score(t) < 0.5 for t in batch.column("text").to_pylist()], pa.bool_()))
 
