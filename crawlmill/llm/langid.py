@@ -29,6 +29,8 @@ SEED = 7
 #: Symbols: 0 the space, 1 to 26 the ASCII letters, the rest other letters by code point.
 SYMBOLS = 64
 GRAMS = SYMBOLS**GRAM
+#: Texts whose n-grams are counted at once; numbers take eight times the room of the text.
+COUNTED_BYTES = 1 << 20
 UNKNOWN = "und"
 _made: dict = {}
 
@@ -142,7 +144,7 @@ def learn(docs: DataFrame, label: str = "lang", dimensions: int = DIMENSIONS) ->
             found = np.flatnonzero(c)
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(c[found], pa.float64())], ["lang", "gram", "n"])
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, COUNTED_BYTES):
             by_lang: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 if len(codes := codes_of(text)):

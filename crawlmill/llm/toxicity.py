@@ -51,7 +51,7 @@ def letter_model(docs: DataFrame) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("toxicity", _current.clear)
         c = np.zeros(langid.GRAMS, np.int64)
-        for batch in pieces(batches):
+        for batch in pieces(batches, langid.COUNTED_BYTES):
             some = [langid.codes_of(t) for t in batch.column("text").to_pylist() if t]
             if some:
                 c += np.bincount(np.concatenate(some), minlength=langid.GRAMS)
