@@ -10,6 +10,7 @@ Defined results: a null or empty text is the end token alone; repeated rows give
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ CAPACITY = 4096
 END = 2
 _held: dict = {}
 #: Words whose ids a worker remembers, at most; then it starts anew.
-MEMORY = 300_000
+MEMORY = 600_000
 
 
 def encoder(path: str):
@@ -38,19 +39,32 @@ def encoder(path: str):
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
-    apart = tok.encode("a b", add_special_tokens=False).ids == [i for w in ("a", "b") for i in tok.encode(w, add_special_tokens=False).ids]
+    ids = lambda x: tok.encode(x, add_special_tokens=False).ids
+    apart = ids("a b") == ids("a") + ids("b")
+    # ASCII stops behind an ASCII letter or digit are tokens of their own, and letter case is lost: a word shares its core's ids
+    stops = ids("Ab.,") == ids("ab") + ids(".,") and ids("x1?!") == ids("x1") + ids("?!")
     known: dict[bytes, bytes] = {}
 
+    def learn(new: set[bytes]) -> None:
+        cut = {}
+        for w in new:
+            core = w.rstrip(b".,;:!?").lower() if stops else w
+            cut[w] = (core, w[len(core) :]) if core[-1:].isalnum() else (w.lower() if stops else w, b"")
+        wanted = list({x for pair in cut.values() for x in pair if x} - known.keys())
+        for i in range(0, len(wanted), 10_000):
+            part = wanted[i : i + 10_000]
+            for x, e in zip(part, tok.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)):
+                known[x] = array("I", e.ids).tobytes()
+        for w, (core, tail) in cut.items():
+            known[w] = known[core] + known[tail] if tail else known[core]
+
     def by_word(some: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in some]
-        new = list({w for words in split for w in words} - known.keys())
-        if len(known) + len(new) > MEMORY:
+        new = set().union(*split) - known.keys()
+        if len(known) + 2 * len(new) > MEMORY:
             known.clear()
-            new = list({w for words in split for w in words})  # one batch's words always fit
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, tok.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            new = set().union(*split)  # one batch's words always fit
+        learn(new)
         return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
 
     def whole(some: list[bytes]) -> list[np.ndarray]:
