@@ -291,3 +291,55 @@ def badge_parts() -> str:
     """One-page filters of the growing crawl's counts."""
     parts = [f"SELECT '{v}' AS view_name, '{n}' AS filter_name, count(*) FILTER ({condition(v, n)}) AS n FROM e WHERE {VIEWS[v][0]}" for v in VIEWS for n in VIEWS[v][1] if not f.FILTERS[v][n].cross]
     return crawl() + " UNION ALL ".join(parts)
+
+
+def _len(v: str) -> str:
+    return f"CAST(length({v}) AS INTEGER)"
+
+
+def _count(cond: str, unique: bool = False) -> str:
+    some = f"list_filter(outlinks, lambda x: {cond})"
+    return f"CAST(len(list_distinct(list_transform({some}, lambda x: x.dst_url))) AS INTEGER)" if unique else f"CAST(len({some}) AS INTEGER)"
+
+
+def _pct(part: str, whole: str) -> str:
+    return f"CASE WHEN {part} > 0 AND {whole} > 0 THEN CAST(CAST(round({part}::DOUBLE / {whole} * 100) AS INTEGER) AS VARCHAR) || '%' END"
+
+
+_REASONS = "list_filter([CASE WHEN redirect THEN 'Redirected' WHEN NOT status BETWEEN 200 AND 299 THEN 'Non-Indexable (' || status || ')' END, CASE WHEN noindex THEN 'Noindex' END, CASE WHEN NOT redirect AND canonicalised THEN 'Canonicalised' END], lambda x: x IS NOT NULL)"
+_NULL_TEXT = "CAST(NULL AS VARCHAR)"
+_OUT = f"NOT ({_SAME})"
+#: The views' columns in DuckDB; those that the derived crawl doesn't fill are NULL.
+COLUMNS = {
+    "address": "url", "content": "content_type", "status_code": "status", "indexability": "indexability", "indexability_status": f"CASE WHEN status IS NULL THEN 'N/A' WHEN len({_REASONS}) = 0 THEN 'Indexable' ELSE array_to_string({_REASONS}, ', ') END",
+    "status": "CASE WHEN blocked_by_robots THEN 'Blocked by robots.txt' WHEN status IS NULL THEN 'Not fetched' ELSE 'OK' END", "title": "title", "title_2": "title_2", "title_length": _len("title"), "title_pixel_width": "title_pixel_width",
+    "meta_desc": "meta_description", "meta_desc_2": "meta_description_2", "meta_desc_length": _len("meta_description"), "meta_desc_pixel_width": "meta_description_pixel_width", "h1": "h1", "h1_2": "h1_2", "h1_length": _len("h1"), "h2": "h2", "h2_2": "h2_2", "h2_length": _len("h2"),
+    "h2_sequence": "CASE WHEN h2_non_sequential THEN 'Non-Sequential' WHEN NOT h2_non_sequential THEN 'Sequential' END", "robots": "robots", "x_robots_tag": _first_header("x-robots-tag"), "canonical": "canonical", "size": "size_bytes", "transfer_size": "transfer_bytes", "response_time": "response_time",
+    "network_fetches": "network_fetches", "revalidated_fetches": "revalidated_fetches", "cache_control": _NULL_TEXT, "words": "word_count", "depth": "depth", "folder_depth": f"CAST(greatest(length({path('url')}) - length(replace({path('url')}, '/', '')) - 1, 0) AS INTEGER)",
+    "inlinks": "inlinks_count", "unique_inlinks": "unique_inlinks_count", "csr_inlinks": "csr_inlinks_count", "unique_csr_inlinks": "unique_csr_inlinks_count", "csr_inlinks_pct": _pct("csr_inlinks_count", "inlinks_count"),
+    "outlinks_count": _count("true"), "unique_outlinks": _count("true", True), "external_outlinks": _count(_OUT), "unique_external_outlinks": _count(_OUT, True), "csr_outlinks": _count("x.csr_only"), "unique_csr_outlinks": _count("x.csr_only", True),
+    "external_csr_outlinks": _count(f"x.csr_only AND {_OUT}"), "unique_external_csr_outlinks": _count(f"x.csr_only AND {_OUT}", True), "csr_outlinks_pct": _pct(_count("x.csr_only"), _count("true")), "last_modified": _NULL_TEXT, "redirect_url": "redirect_url",
+    "redirect_type": "CASE WHEN redirect THEN coalesce(CAST(coalesce(redirect_status, CASE WHEN status BETWEEN 300 AND 399 THEN status END) AS VARCHAR), 'HTTP Redirect') END", "closest_similarity": "closest_similarity", "near_duplicate_count": "near_duplicate_count", "link_score": "link_score", "content_hash": "content_hash",
+    "ssr_words": "ssr_word_count", "ssr_diff": "CASE WHEN word_count > 0 THEN CAST(CAST(round(greatest(word_count - ssr_word_count, 0)::DOUBLE / word_count * 100) AS INTEGER) AS VARCHAR) || '%' END", "body_tag": "CASE WHEN has_body_tag THEN 'Present' WHEN NOT has_body_tag THEN 'Missing' END",
+    "hreflang_count": "CAST(len(hreflang_tags) AS INTEGER)", "hreflang_sources": _NULL_TEXT, "in_sitemap": "in_sitemap", "sitemap_lastmod": "sitemap_lastmod", "sitemap_url": "sitemap_url", "a11y_errors": "a11y_errors", "a11y_warnings": "a11y_warnings", "sd_errors": "sd_errors", "sd_warnings": "sd_warnings",
+    "ttfb": "ttfb_ms", "fcp": "fcp_ms", "lcp": "lcp_ms", "cls": "cls", **{f"ecom_{k}": f"ecommerce.{k}" for k in ("price", "currency", "availability", "sku", "gtin", "brand", "has_image")}, "ecom_has_review": "ecommerce.has_review_or_rating",
+    "sec_https": "starts_with(url, 'https://')", "sec_hsts": _has("strict-transport-security"), "sec_csp": _has("content-security-policy"), "sec_frame_guard": _has("x-frame-options"), "sec_content_type_opts": _has("x-content-type-options"), "sec_referrer_policy": _first_header("referrer-policy"),
+    "sec_mixed_content": "has_mixed_content", "url_length": _len("url"),
+}
+_OCCURRENCES = {"PageTitles": "title", "MetaDesc": "meta_description", "H1": "h1", "H2": "h2", "Canonicals": "canonical"}
+
+
+def view(name: str, columns: list[str]) -> str:
+    """A page view's rows; accessibility has a row a violation and structured data (which has no items here) one a page."""
+    made = [f"{COLUMNS[n]} AS {n}" for n in columns if n in COLUMNS]
+    source = "e"
+    if name in _OCCURRENCES:
+        made.append(f"coalesce(n_{_OCCURRENCES[name]}, 0) AS occurrences")
+    if name == "Hreflang":
+        made += [f"hreflang_tags[{k}].{part} AS hreflang_{k}{suffix}" for k in (1, 2, 3) for part, suffix in (("lang", ""), ("url", "_url"))]
+    if name == "StructuredData":
+        made += [f"{_NULL_TEXT} AS sd_format", f"{_NULL_TEXT} AS sd_type"]
+    if name == "Accessibility":
+        source = "(SELECT *, unnest(CASE WHEN len(a11y_issues) > 0 THEN a11y_issues ELSE [NULL] END) AS issue FROM e)"
+        made += [f"issue.{k} AS a11y_{k}" for k in ("rule", "impact", "target", "html")]
+    return crawl() + f"SELECT row_id, {', '.join(made)} FROM {source} WHERE {VIEWS[name][0]}"

@@ -98,4 +98,4 @@ query("previous_crawls", _previous, oracle.PREVIOUS)
 query("filter_counts", lambda s, d: counts.filter_counts(crawl(s, d), cross=False), oracle.badge_parts())
 for _view in views.VIEWS:
     if _view != "Images":
-        query(f"view_{_view.lower()}", lambda s, d, v=_view: views.view(complete(crawl(s, d)), v))
+        query(f"view_{_view.lower()}", lambda s, d, v=_view: views.view(complete(crawl(s, d)), v), oracle.view(_view, list(views.VIEWS[_view].columns)))
