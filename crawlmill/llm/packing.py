@@ -9,6 +9,7 @@ Defined results: a null or empty text is the end token alone; repeated rows give
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections import Counter
@@ -35,6 +36,7 @@ def encoder(path: str):
     word is encoded once for many texts. A file whose pre-tokenizer doesn't separate at white space is encoded text by text."""
     if path in _held:
         return _held[path]
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core already
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
