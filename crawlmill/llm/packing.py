@@ -26,11 +26,11 @@ CAPACITY = 4096
 END = 2
 _held: dict = {}
 #: Words whose ids a worker remembers, at most; then it starts anew.
-MEMORY = 600_000
+MEMORY = 900_000
 
 
 def encoder(path: str):
-    """A function from UTF-8 texts to arrays of ids, by the tokenizer file at path.
+    """A function from UTF-8 texts to their ids as little-endian unsigned 32-bit numbers, by the tokenizer file at path.
 
     The tokenizer drops white space and no token spans it, so the ids of a text are those of its words one after another; each distinct
     word is encoded once for many texts. A file whose pre-tokenizer doesn't separate at white space is encoded text by text."""
@@ -60,17 +60,17 @@ def encoder(path: str):
         for w, (core, tail) in cut.items():
             known[w] = known[core] + known[tail] if tail else known[core]
 
-    def by_word(some: list[bytes]) -> list[np.ndarray]:
+    def by_word(some: list[bytes]) -> list[bytes]:
         split = [t.split() for t in some]
         new = set().union(*split) - known.keys()
         if len(known) + 2 * len(new) > MEMORY:
             known.clear()
             new = set().union(*split)  # one batch's words always fit
         learn(new)
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
-    def whole(some: list[bytes]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in tok.encode_batch([t.decode("utf-8", "replace") for t in some], add_special_tokens=False)]
+    def whole(some: list[bytes]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tok.encode_batch([t.decode("utf-8", "replace") for t in some], add_special_tokens=False)]
 
     _held[path] = by_word if apart else whole
     return _held[path]
@@ -89,15 +89,14 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = EN
 
     def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("packing", _held.clear)
-        encode = encoder(tokenizer)
+        encode, stop = encoder(tokenizer), end.to_bytes(4, "little")
         for batch in pieces(batches):
             cols: list[list] = [[] for _ in names]
             for doc, own in zip(batch.column("doc_id").to_pylist(), encode([t or b"" for t in texts(batch)])):
-                own = np.append(own, np.array([end], "<u4")).astype("<u4")
-                at = 0
-                for n in binary_lengths(len(own), capacity):
-                    part = own[at : at + n]
-                    for c, v in zip(cols, (doc, at, n, zlib.crc32(part.tobytes()), len(own), part)):
+                view, total, at = memoryview(own + stop), len(own) // 4 + 1, 0
+                for n in binary_lengths(total, capacity):
+                    part = view[4 * at : 4 * (at + n)]
+                    for c, v in zip(cols, (doc, at, n, zlib.crc32(part), total, np.frombuffer(part, "<u4") if ids else None)):
                         c.append(v)
                     at += n
             kinds = [pa.int64()] * 5 + [pa.list_(pa.uint32())] * ids
