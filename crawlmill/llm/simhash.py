@@ -121,9 +121,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their component: those whose doc_id is its smallest. Of rows with one doc_id the first by text stays.
+    """The rows of docs that stand for their group of near copies (nearcopies): those whose doc_id is its smallest. Of rows with one doc_id
+    the first by text stays.
 
-    Rows whose doc_id is null stay only if all of their component is null."""
-    keep = near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("c")).where(F.col("doc_id").eqNullSafe(F.col("c"))).select(F.col("doc_id").alias("kept_id"))
+    Rows whose doc_id is null stay only if all of their group is null."""
+    from crawlmill.llm import nearcopies
+
+    groups = nearcopies.groups(docs)
+    least = groups.groupBy("root").agg(F.min("doc_id").alias("least"))
+    keep = groups.join(least, "root").groupBy("doc_id").agg(F.min("least").alias("c")).where(F.col("doc_id").eqNullSafe(F.col("c"))).select(F.col("doc_id").alias("kept_id"))
     kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
     return kept.dropDuplicates(["doc_id"])

@@ -427,6 +427,44 @@ def test_one_of_each(docs):
     assert len(ids) == len(set(ids)) and 1 in ids and 4 not in ids and None not in ids
 
 
+def plain_groups(texts):
+    """The smallest index of a text's group, by all pairs."""
+    sets = []
+    for t in texts:
+        w = split((t or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set())
+    roots = list(range(len(sets)))
+
+    def find(x):
+        while roots[x] != x:
+            x = roots[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+            a, b = sorted((find(i), find(j)))
+            roots[b] = a
+    return [find(i) for i in range(len(sets))]
+
+
+def test_near_copies_are_complete(spark):
+    r = random.Random(9)
+    made = [(line := words(30, 77, 1000)), line + " end"]
+    for k in range(40):
+        base = words(r.randrange(4, 300), k, 5000).split()
+        made.append(" ".join(base))
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(r.randrange(1, 2 + len(base) // 25)):
+                copy[r.randrange(len(copy))] = f"new{r.random()}"
+            made.append(" ".join(copy + line.split() * r.randrange(2)))
+    root = plain_groups(made)
+    assert 60 < len(set(root)) < len(made) - 60
+    assert any((plain_fingerprint(made[i]) ^ plain_fingerprint(made[j])).bit_count() > 3 for i, j in enumerate(root))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string").repartition(3)
+    assert sorted(x["doc_id"] for x in simhash.one_of_each(df).collect()) == sorted(set(root))
+
+
 # 10
 
 
