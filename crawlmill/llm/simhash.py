@@ -121,14 +121,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their group of near copies (nearcopies): those whose doc_id is its smallest. Of rows with one doc_id
-    the first by text stays.
+    """One row of docs for each group of near copies (nearcopies): that with the smallest doc_id, nulls last, and of these the first by hash of text.
 
-    Rows whose doc_id is null stay only if all of their group is null."""
+    Rows are told by doc_id and text, so a repeated or null doc_id binds no texts together. Of rows equal in both one stays."""
     from crawlmill.llm import nearcopies
 
-    groups = nearcopies.groups(docs)
-    least = groups.groupBy("root").agg(F.min("doc_id").alias("least"))
-    keep = groups.join(least, "root").groupBy("doc_id").agg(F.min("least").alias("c")).where(F.col("doc_id").eqNullSafe(F.col("c"))).select(F.col("doc_id").alias("kept_id"))
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")).alias("first")
+    keep = nearcopies.groups(docs).groupBy("root").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
+    keep = written(keep, "kept")
+    text_hash = F.xxhash64(docs["text"])
+    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]) & (text_hash == keep["kept_hash"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])

@@ -465,6 +465,18 @@ def test_near_copies_are_complete(spark):
     assert sorted(x["doc_id"] for x in simhash.one_of_each(df).collect()) == sorted(set(root))
 
 
+def test_one_of_each_tells_rows(spark, docs):
+    assert words(40, 12) in {r["text"] for r in simhash.one_of_each(docs).collect()}
+    other, more = words(50, 200, 5000), words(50, 201, 5000)
+    a, b, lone, third = (words(60, 300 + k, 5000) for k in range(4))
+    # 1 twice, near 0 once; 2's second text the smallest of its own group; null ids near 0, alike, alone
+    texts = [(0, a), (1, a + " end"), (1, b), (3, b + " end"), (2, a), (2, other), (5, other + " end"), (None, a), (None, lone), (None, lone + " end"), (None, third), (None, more), (7, more + " end"), (None, third)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    out = got(simhash.one_of_each(df), "doc_id", "text")
+    assert len([t for _, t in out if t in (lone, lone + " end")]) == 1
+    assert [x for x in out if x[1] not in (lone, lone + " end")] == sorted([(0, a), (1, b), (2, other), (None, third), (7, more + " end")], key=str)
+
+
 # 10
 
 
