@@ -10,8 +10,6 @@ from crawlmill.functions import urls
 from crawlmill.operators.graph import cut
 
 c = F.col
-#: Doublings: chains of up to 2^ROUNDS hops are followed; what is still moving then goes round in a loop.
-ROUNDS = 6
 
 
 def hops(pages: DataFrame, raw: bool) -> DataFrame:
@@ -20,14 +18,18 @@ def hops(pages: DataFrame, raw: bool) -> DataFrame:
     return pages.groupBy(form(c("url")).alias("node")).agg(F.max_by(F.struct(form(c("redirect_url")).alias("to"), "status", p.is_redirect().alias("redirect")), "row_id").alias("last")).select("node", "last.*")
 
 
-def ends(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """node, at: where 2^rounds hops from node lead, or the last place on the way that has no hop."""
+def ends(edges: DataFrame) -> DataFrame:
+    """node, at: the last place on the way from node, which has no hop, or some place of the loop that the way leads into.
+
+    A way of more hops than have been followed passes a node that the next round brings to its end; if a round brings none, all that
+    still moves goes round in loops."""
     at = cut(edges.select("node", c("to").alias("at")))
-    for _ in range(rounds):
+    nodes = at.select(c("node").alias("at"))
+    moving, before = at.join(nodes, "at", "left_semi").count(), None
+    while moving and moving != before:
         step = at.select(c("node").alias("at"), c("at").alias("next"))
         at = cut(at.join(step, "at", "left").select("node", F.coalesce("next", "at").alias("at")))
-        if not at.join(step.select("at"), "at", "left_semi").limit(1).count():
-            break  # all have arrived
+        moving, before = at.join(nodes, "at", "left_semi").count(), moving
     return at
 
 

@@ -97,6 +97,13 @@ def test_redirects(spark):
     assert hit(pages, "ResponseCodes", "RedirectTemporary") == {"/b"}
 
 
+def test_long_redirects_are_no_loops(spark):
+    to = lambda a, b: {"url": a, "redirect_url": SITE + b, "status": 301}
+    pages = crawl(spark, *(to(f"/n{k}", f"/n{k + 1}") for k in range(150)), {"url": "/n150", "status": 404}, *(to(f"/l{k}", f"/l{(k + 1) % 3}") for k in range(3)), *(to(f"/in{k}", f"/in{k + 1}" if k < 99 else "/l0") for k in range(100)))
+    assert hit(pages, "ResponseCodes", "RedirectLoop") == {*(f"/l{k}" for k in range(3)), *(f"/in{k}" for k in range(100))}
+    assert hit(pages, "ResponseCodes", "RedirectToError") == {f"/n{k}" for k in range(150)}
+
+
 def test_canonicals_and_links(spark):
     link = lambda u, a=None, r=None: (u, a, r, False)
     pages = crawl(
