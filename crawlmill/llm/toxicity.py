@@ -75,7 +75,8 @@ def _symbol(c: str) -> int:
 
 def decode(noisy: str, model: np.ndarray) -> str:
     """The likeliest plain reading of a word or of spaced letters; breaks become single spaces."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # said as a chain (what was said before, letter): nothing is copied, so the search is linear in the length
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for i, c in enumerate(noisy):
         options = [(_symbol(c), c, 0.0)] if c.isalpha() else [(0, " ", BREAK_COST if c != " " else 0.0)]
         options += [(_symbol(x), x, LOOK_COST) for x in LOOKS.get(c, "")]
@@ -83,17 +84,22 @@ def decode(noisy: str, model: np.ndarray) -> str:
             options.append((-1, "", REPEAT_COST))
         elif c in " .-_*~" and i:
             options.append((-1, "", DROP_COST if c != " " else DROP_COST / 2))
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, said) in states.items():
             for s, out, extra in options:
                 if s < 0 or (s == 0 and b == 0):
                     to, now = (a, b), (cost + extra, said)
                 else:
-                    to, now = (b, s), (cost + extra - float(model[a, b, s]), said + out)
-                if to not in new or now < new[to]:
+                    to, now = (b, s), (cost + extra - float(model[a, b, s]), (said, out))
+                if to not in new or now[0] < new[to][0]:
                     new[to] = now
         states = new
-    return min((cost - float(model[a, b, 0]), said) for (a, b), (cost, said) in states.items())[1].strip()
+    said = min(((cost - float(model[a, b, 0]), said) for (a, b), (cost, said) in states.items()), key=lambda x: x[0])[1]
+    letters = []
+    while said:
+        said, out = said
+        letters.append(out)
+    return "".join(reversed(letters)).strip()
 
 
 class Restorer:
@@ -134,8 +140,7 @@ class Restorer:
     def _run(self, single: list[str]) -> list[str]:
         if len(single) < 3:
             return single
-        # a long run is cut where it is a multiple of what a word may be, so that the search stays short
-        return [x for i in range(0, len(single), 64) for x in decode(" ".join(single[i : i + 64]), self.model).split()]
+        return decode(" ".join(single), self.model).split()
 
 
 def terms(word: str) -> list[str]:

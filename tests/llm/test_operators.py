@@ -323,6 +323,14 @@ def test_restores_spacing():
     assert list(toxicity.Restorer(plain_model()).words("You  i d i o t are")) == ["you", "idiot", "are"]
 
 
+def test_restores_long_runs():
+    restorer = toxicity.Restorer(plain_model())
+    for before in range(58, 66):  # letters before the insult
+        letters = ("thenight" * 9)[-before:] + "idiot" + "thenight" * 2
+        assert "idiot" in list(restorer.words(" ".join(letters))), before
+    assert list(restorer.words(" ".join("thenight" * 5000))).count("night") > 4990
+
+
 def test_decode_is_the_best_path():
     model = plain_model()
 
