@@ -33,22 +33,26 @@ def encoder(path: str):
     """A function from UTF-8 texts to their ids as little-endian unsigned 32-bit numbers, by the tokenizer file at path.
 
     The tokenizer drops white space and no token spans it, so the ids of a text are those of its words one after another; each distinct
-    word is encoded once for many texts. A file whose pre-tokenizer doesn't separate at white space is encoded text by text."""
+    word is encoded once for many texts. A file whose pre-tokenizer doesn't separate at white space is encoded text by text, and so are
+    texts with a word that holds an added token (like <|endoftext|>) in any letter case: those are looked for before case is lost."""
     if path in _held:
         return _held[path]
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core already
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     ids = lambda x: tok.encode(x, add_special_tokens=False).ids
-    apart = ids("a b") == ids("a") + ids("b")
+    added = [a.content for a in tok.get_added_tokens_decoder().values()]
+    apart = ids("a b") == ids("a") + ids("b") and not any(a.split() != [a] for a in added)
+    marks = [a.lower().encode() for a in added]
     # ASCII stops behind an ASCII letter or digit are tokens of their own, and letter case is lost: a word shares its core's ids
     stops = ids("Ab.,") == ids("ab") + ids(".,") and ids("x1?!") == ids("x1") + ids("?!")
     known: dict[bytes, bytes] = {}
+    holding: set[bytes] = set()  # known words with an added token in them
 
     def learn(new: set[bytes]) -> None:
         cut = {}
+        holding.update(w for w in new if any(m in w.lower() for m in marks))
         for w in new:
             core = w.rstrip(b".,;:!?").lower() if stops else w
             cut[w] = (core, w[len(core) :]) if core[-1:].isalnum() else (w.lower() if stops else w, b"")
@@ -65,9 +69,12 @@ def encoder(path: str):
         new = set().union(*split) - known.keys()
         if len(known) + 2 * len(new) > MEMORY:
             known.clear()
+            holding.clear()
             new = set().union(*split)  # one batch's words always fit
         learn(new)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        if not holding:
+            return [b"".join(map(known.__getitem__, words)) for words in split]
+        return [b"".join(map(known.__getitem__, words)) if holding.isdisjoint(words) else whole([t])[0] for t, words in zip(some, split)]
 
     def whole(some: list[bytes]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tok.encode_batch([t.decode("utf-8", "replace") for t in some], add_special_tokens=False)]

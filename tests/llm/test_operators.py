@@ -185,6 +185,15 @@ def test_packing(docs):
     assert by_length == sorted(by_length, reverse=True)
 
 
+def test_packing_keeps_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    some = ["a <|endoftext|> b", "A<|endoftext|>.B", "<|startoftext|>", "a <|ENDOFTEXT|> b", "plain words, again", "<|endoftext|>!", "x<|EndOfText|><|endoftext|>y", ""]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encoder(path)([t.encode() for t in some])] == [tok.encode(t, add_special_tokens=False).ids for t in some]
+
+
 # 5
 
 
