@@ -10,13 +10,15 @@ Defined results: a null or empty text is the end token alone; repeated rows give
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +27,70 @@ from crawlmill.llm.common import begin, bounded_batches, pieces, texts, written
 CAPACITY = 4096
 END = 2
 _held: dict = {}
-#: Words whose ids a worker remembers, at most; then it starts anew.
-MEMORY = 900_000
+#: Bytes that the remembered words of a worker take, about; beyond that it starts anew.
+MEMORY = 128 << 20
+#: ASCII signs but for the apostrophe, which may begin a token of letters.
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters beyond ASCII that every version of Unicode in use calls letters, as UTF-8.
+LATIN = frozenset(chr(c).encode() for c in range(0xC0, 0x250) if chr(c).isalpha() and len(chr(c).lower()) == 1)
+_PLAIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")  # U+0130 is two characters in lower case
+#: Plain words that the tokenizer gets as one text.
+TOGETHER = 2000
+
+
+class Words:
+    """The ids of words as little-endian unsigned 32-bit numbers.
+
+    ASCII signs behind a letter or digit are tokens of their own, and letter case is lost: a word's ids are those of its core and its signs,
+    which are remembered. Of plain cores (letters only) many are encoded as one text; tokens that end a word tell them apart again."""
+
+    def __init__(self, tok, most: int = MEMORY):
+        self.tok, self.most, self.held = tok, most, 0
+        ids = lambda x: tok.encode(x, add_special_tokens=False).ids
+        signs = SIGNS.decode()
+        self.low = ids("Ab Ba") == ids("ab ba")
+        self.signs = SIGNS if all(ids(x + s) == ids(x) + ids(s) for x in ("ab", "x1", "\u00e9") for s in (*signs, signs, *(a + b for a in signs for b in signs))) else b""
+        suffix = getattr(tok.model, "end_of_word_suffix", None)
+        vocab = tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+        self.known: dict[bytes, bytes] = {b"": b""}
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of the words."""
+        if self.held > self.most:
+            self.known, self.held = {b"": b""}, 0
+        small = b"\n".join(words).lower().split(b"\n") if self.low and words else words
+        cores, tails = small, []
+        if self.signs:
+            cores = [w.rstrip(self.signs) for w in small]
+            cores = [c if c[-1:].isalnum() or c[-2:] in LATIN else w for c, w in zip(cores, small)]
+            tails = [w[len(c) :] for c, w in zip(cores, small)]
+        self._learn(list({*cores, *tails} - self.known.keys()))
+        of = self.known.__getitem__
+        return [of(c) + of(t) if t else of(c) for c, t in zip(cores, tails)] if tails else list(map(of, cores))
+
+    def _learn(self, new: list[bytes]) -> None:
+        as_text = [w.decode("utf-8", "replace") for w in new]
+        plain = [bool(_PLAIN.fullmatch(w)) for w in as_text] if self.ends.any() else [False] * len(new)
+        rest = [k for k, p in enumerate(plain) if not p]
+        many = [k for k, p in enumerate(plain) if p]
+        for i in range(0, len(many), TOGETHER):
+            part = many[i : i + TOGETHER]
+            ids = np.array(self.tok.encode_batch_fast([" ".join([as_text[k] for k in part])], add_special_tokens=False)[0].ids, "<u4")
+            stop = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(stop) != len(part) or stop[-1] != 4 * len(ids):
+                rest += part
+                continue
+            packed, at = ids.tobytes(), 0
+            for k, to in zip(part, stop.tolist()):
+                self.known[new[k]] = packed[at:to]
+                at = to
+        for i in range(0, len(rest), TOGETHER):
+            part = rest[i : i + TOGETHER]
+            for k, e in zip(part, self.tok.encode_batch_fast([as_text[k] for k in part], add_special_tokens=False)):
+                self.known[new[k]] = array("I", e.ids).tobytes()
+        self.held += sum(map(len, new)) + sum(len(self.known[w]) for w in new) + 160 * len(new)
 
 
 def encoder(path: str):
@@ -44,41 +108,32 @@ def encoder(path: str):
     ids = lambda x: tok.encode(x, add_special_tokens=False).ids
     added = [a.content for a in tok.get_added_tokens_decoder().values()]
     apart = ids("a b") == ids("a") + ids("b") and not any(a.split() != [a] for a in added)
-    marks = [a.lower().encode() for a in added]
-    # ASCII stops behind an ASCII letter or digit are tokens of their own, and letter case is lost: a word shares its core's ids
-    stops = ids("Ab.,") == ids("ab") + ids(".,") and ids("x1?!") == ids("x1") + ids("?!")
-    known: dict[bytes, bytes] = {}
-    holding: set[bytes] = set()  # known words with an added token in them
-
-    def learn(new: set[bytes]) -> None:
-        cut = {}
-        holding.update(w for w in new if any(m in w.lower() for m in marks))
-        for w in new:
-            core = w.rstrip(b".,;:!?").lower() if stops else w
-            cut[w] = (core, w[len(core) :]) if core[-1:].isalnum() else (w.lower() if stops else w, b"")
-        wanted = list({x for pair in cut.values() for x in pair if x} - known.keys())
-        for i in range(0, len(wanted), 10_000):
-            part = wanted[i : i + 10_000]
-            for x, e in zip(part, tok.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)):
-                known[x] = array("I", e.ids).tobytes()
-        for w, (core, tail) in cut.items():
-            known[w] = known[core] + known[tail] if tail else known[core]
-
-    def by_word(some: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in some]
-        new = set().union(*split) - known.keys()
-        if len(known) + 2 * len(new) > MEMORY:
-            known.clear()
-            holding.clear()
-            new = set().union(*split)  # one batch's words always fit
-        learn(new)
-        if not holding:
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        return [b"".join(map(known.__getitem__, words)) if holding.isdisjoint(words) else whole([t])[0] for t, words in zip(some, split)]
 
     def whole(some: list[bytes]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tok.encode_batch([t.decode("utf-8", "replace") for t in some], add_special_tokens=False)]
 
+    words = Words(tok) if apart else None
+    marks = [a.lower().encode() for a in added]
+
+    def by_word(some: list[bytes]) -> list[bytes]:
+        split = pc.ascii_split_whitespace(pa.array(some, pa.large_binary()).view(pa.large_string()))
+        ends = split.offsets.to_numpy()
+        coded = split.flatten().view(pa.large_binary()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        ids = pa.array(words(distinct), pa.large_binary()).take(coded.indices)
+        if not len(ids):
+            return [b""] * len(some)
+        at = np.frombuffer(ids.buffers()[1], "<i8", len(ids) + 1)[ends].tolist()
+        held = memoryview(ids.buffers()[2] or b"")
+        out = [bytes(held[a:b]) for a, b in zip(at, at[1:])]
+        every = b"\n".join(distinct).lower()
+        if any(m in every for m in marks):
+            marked = np.array([any(m in w.lower() for m in marks) for w in distinct])[coded.indices.to_numpy()]
+            marked = np.concatenate(([0], np.cumsum(marked)))[ends]
+            for k in np.flatnonzero(np.diff(marked)).tolist():
+                out[k] = whole([some[k]])[0]
+        return out
+
     _held[path] = by_word if apart else whole
     return _held[path]
 
@@ -90,53 +145,49 @@ def binary_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
 
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of each piece and, if asked for, its ids."""
+    """doc_id, start, length, ids_crc32, doc_tokens of each piece, its part (the task that cut it) and place (among the part's pieces of this
+    length) and, if asked for, its ids. A table to be written before parts and places are used."""
     bounded_batches(docs.sparkSession)
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * ids
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "place"] + ["ids"] * ids
 
     def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("packing", _held.clear)
         encode, stop = encoder(tokenizer), end.to_bytes(4, "little")
+        part, seen = TaskContext.get().partitionId(), dict.fromkeys((capacity >> b for b in range(capacity.bit_length())), 0)
         for batch in pieces(batches):
             cols: list[list] = [[] for _ in names]
             for doc, own in zip(batch.column("doc_id").to_pylist(), encode([t or b"" for t in texts(batch)])):
                 view, total, at = memoryview(own + stop), len(own) // 4 + 1, 0
                 for n in binary_lengths(total, capacity):
-                    part = view[4 * at : 4 * (at + n)]
-                    for c, v in zip(cols, (doc, at, n, zlib.crc32(part), total, np.frombuffer(part, "<u4") if ids else None)):
+                    piece = view[4 * at : 4 * (at + n)]
+                    for c, v in zip(cols, (doc, at, n, zlib.crc32(piece), total, part, seen[n], np.frombuffer(piece, "<u4") if ids else None)):
                         c.append(v)
+                    seen[n] += 1
                     at += n
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.uint32())] * ids
+            kinds = [pa.int64()] * 7 + [pa.list_(pa.uint32())] * ids
             arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
             if ids:
-                arrays[5] = arrays[5].cast(pa.list_(pa.int64()))
+                arrays[7] = arrays[7].cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cutting, ", ".join(f"{x} long" for x in names[:5]) + ", ids array<bigint>" * ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cutting, ", ".join(f"{x} long" for x in names[:7]) + ", ids array<bigint>" * ids)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, ids: bool = False) -> DataFrame:
     """The pieces with sequence_id (gapless from 0, longest bucket first), offset (0) and batch (within the bucket, of capacity tokens each).
 
-    The pieces are written once; only their counts by part of that table and by length, a few numbers a part, are put in order."""
-    part = F.shiftright(F.col("row"), 33)
-    kept = written(cut(docs, tokenizer, capacity, end, ids), "pieces").withColumn("row", F.monotonically_increasing_id()).withColumn("part", part)
-    counts = kept.groupBy("length", "part").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy(F.desc("length"), "part").rowsBetween(Window.unboundedPreceding, -1))
+    The pieces are written once, with the numbers of their parts and places: whatever reads the table again, in whichever splits and after
+    whichever executors are lost, finds the same numbers. Only counts by part and length, a few numbers a part, are put in order."""
+    if capacity & (capacity - 1) or capacity < 1:
+        raise ValueError("the capacity is a power of two")
+    kept = written(cut(docs, tokenizer, capacity, end, ids), "pieces")
+    counts = kept.groupBy("length", "part").agg((F.max("place") + 1).alias("n"))
     within = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    base = counts.select("length", "part", F.coalesce(before, F.lit(0)).alias("base"), F.coalesce(within, F.lit(0)).alias("within"))
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("packing", _held.clear)
-        seen: Counter = Counter()  # a task reads one part's rows in order
-        for batch in batches:
-            place = []
-            for key in zip(batch.column("part").to_pylist(), batch.column("length").to_pylist()):
-                place.append(seen[key])
-                seen[key] += 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place, pa.int64())], [*batch.schema.names, "place"])
-
-    placed = kept.drop("row").mapInArrow(numbered, ", ".join(f"`{c}` {t}" for c, t in kept.drop("row").dtypes) + ", place long")
-    joined = placed.join(F.broadcast(base), ["length", "part"])  # a row for each part and length: 13 times the parts at most
+    # the table is as large as the number of parts makes it: Spark broadcasts it only if its files are small
+    base = written(counts.select("length", "part", "n", F.coalesce(within, F.lit(0)).alias("within")), "places")
+    longer = F.sum("n").over(Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1))  # a row for each power of two
+    buckets = base.groupBy("length").agg(F.sum("n").alias("n")).select("length", F.coalesce(longer, F.lit(0)).alias("longer"))
+    joined = kept.join(base.drop("n"), ["length", "part"]).join(F.broadcast(buckets), "length")
+    at = F.col("within") + F.col("place")
     a_batch = F.greatest(F.lit(1), F.lit(capacity) / F.col("length"))
-    return joined.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.floor((F.col("within") + F.col("place")) / a_batch).alias("batch"), *["ids"] * ids)
+    return joined.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("longer") + at).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.floor(at / a_batch).alias("batch"), *["ids"] * ids)
