@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,12 @@ SPACE = "▁"
 BEST = 4
 #: How far below the least score of any piece but mere spaces a character without a piece scores.
 UNKNOWN_LOSS = 10.0
-#: Parts and words that a worker remembers, at most; then it starts anew.
-KEPT_PARTS, KEPT_WORDS = 600_000, 500_000
+#: Bytes that the words a worker remembers take, about, and those of one word without its letters; beyond that it starts anew.
+KEPT_BYTES, WORD_BYTES = 128 << 20, 400
+#: Words of one length that are looked at together: their number, at least and at most, and the longest such.
+FEWEST_AT_ONCE, AT_ONCE, LONGEST_AT_ONCE = 8, 2048, 40
+#: Characters with a column in the table of the trie.
+CLASSES = 256
 _models: dict[str, Lattice] = {}
 
 
@@ -56,8 +61,10 @@ class Lattice:
         self.longest = max(map(len, self.ids))
         self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.known: dict[str, tuple] = {}
+        self.known_bytes = 0
         self.lists: dict[str, list] = {}
         self.words, self.spaced = _Known(self, ""), _Known(self, SPACE)
+        self.trie = _Trie(self)
         self.lines = not any("\n" in pair for pair in self.joined)
 
     def parts(self, word: str) -> list[str]:
@@ -98,6 +105,26 @@ class Lattice:
         some = [self.summary(x) for x in self.parts(word)]
         return b"".join(x[0] for x in some), sum(x[1] for x in some), sum(x[2] for x in some), min(x[3] for x in some), word
 
+    def prepare(self, some: list[str]) -> None:
+        """Looks at the new words of many texts at once: all words of one length go through the trie, forward and backward together."""
+        plain, spaced = set(), set()
+        for text in some:
+            for line in text.split("\n") if self.lines else ():
+                first, *rest = line.split(" ")
+                plain.add(first)
+                spaced.update(rest)
+        for known, words in ((self.words, plain), (self.spaced, spaced)):
+            words.discard("")
+            known.make_room()
+            words -= known.keys()
+            by_length: dict[int, list[str]] = {}
+            for w in words:
+                by_length.setdefault(len(w), []).append(w)
+            for n, alike in by_length.items():
+                if n <= LONGEST_AT_ONCE and len(alike) >= FEWEST_AT_ONCE:
+                    for i in range(0, len(alike), AT_ONCE):
+                        known.learn(alike[i : i + AT_ONCE])
+
     def edges(self, s: str) -> list[list[tuple[int, float]]]:
         """For each end the (start, score) of the pieces that end there."""
         scores, n = self.scores, len(s)
@@ -144,8 +171,10 @@ class Lattice:
         got = self.known.get(s)
         if got is not None:
             return got
-        if len(self.known) > KEPT_PARTS:
+        if self.known_bytes > KEPT_BYTES // 2:
             self.known.clear()
+            self.known_bytes = 0
+        self.known_bytes += WORD_BYTES + 5 * len(s)
         get, longest, n = self.scores.get, self.longest, len(s)
         best, start = [0.0] * (n + 1), [0] * (n + 1)
         edges: list[tuple[int, int, float]] = []
@@ -223,14 +252,125 @@ class _Known(dict):
 
     def __init__(self, of: Lattice, space: str):
         super().__init__()
-        self.of, self.space = of, space
+        self.of, self.space, self.held = of, space, 0
 
-    def __missing__(self, word: str) -> tuple:
-        if len(self) > KEPT_WORDS:
+    def make_room(self, most: int = KEPT_BYTES) -> None:
+        if self.held > most:
             self.clear()
+            self.held = 0
+
+    def __missing__(self, word: str) -> tuple:
+        self.make_room(2 * KEPT_BYTES)  # what a batch was prepared with stays for it
         got = self[word] = self.of._of(self.space + word)
+        self.held += WORD_BYTES + 5 * len(word)
         return got
 
+    def learn(self, words: list[str]) -> None:
+        """Words of one length, at once; those with characters that are no pieces are left for later."""
+        space = self.space
+        for w, got in self.of.trie.summaries([space + w for w in words]):
+            self[w[len(space) :]] = got
+            self.held += WORD_BYTES + 5 * len(w)
+
+
+class _Trie:
+    """The pieces by their characters, as tables, so that many words of one length are looked at together.
+
+    Only the CLASSES characters that most pieces hold have columns; words with others go the usual way."""
+
+    def __init__(self, of: Lattice):
+        self.of = of
+        often = Counter(c for p in of.ids for c in set(p))
+        letters = [c for c, _ in sorted(often.items(), key=lambda x: (-x[1], x[0])) if c in of.ids][:CLASSES]
+        classes = {c: k for k, c in enumerate(letters, 1)}
+        self.classes = np.zeros(max(map(ord, letters), default=0) + 2, np.int32)
+        for c, k in classes.items():
+            self.classes[ord(c)] = k
+        steps: list[dict[int, int]] = [{}]
+        ids, scores = [-1], [-np.inf]
+        for piece, i in of.ids.items():
+            at = 0
+            for c in piece:
+                k = classes.get(c)
+                if k is None:
+                    break
+                if k not in steps[at]:
+                    steps[at][k] = len(steps)
+                    steps.append({})
+                    ids.append(-1)
+                    scores.append(-np.inf)
+                at = steps[at][k]
+            else:
+                ids[at], scores[at] = i, of.scores[piece]
+        # nodes with children come first: only they have rows; node 0 is the root, the last row stands for no node
+        order = [0, *(k for k in range(1, len(steps)) if steps[k]), *(k for k in range(1, len(steps)) if not steps[k])]
+        new = {old: k for k, old in enumerate(order)}
+        self.inner, self.none = sum(map(bool, steps)) or 1, len(steps)
+        self.next = np.full((self.inner, len(letters) + 1), self.none, np.int32)
+        for old in order[: self.inner]:
+            for k, to in steps[old].items():
+                self.next[new[old], k] = new[to]
+        self.ids = np.array([*(ids[k] for k in order), -1], np.int64)
+        self.scores = np.array([*(scores[k] for k in order), -np.inf])
+
+    def summaries(self, words: list[str]) -> Iterator[tuple[str, tuple]]:
+        """(word, (ids, their number, score, loss of the second best, word)) of words of one length, but for those with other characters."""
+        n, deep = len(words[0]), min(len(words[0]), self.of.longest)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), n)
+        cls = self.classes[np.minimum(points, len(self.classes) - 1)]
+        fit = cls.all(axis=1)
+        if not fit.all():
+            words, cls = [w for w, f in zip(words, fit.tolist()) if f], cls[fit]
+        m = len(words)
+        if not m:
+            return
+        edge = np.full((deep + 1, n, m), -np.inf)  # by length, start and word
+        piece = np.full((deep + 1, n, m), -1, np.int64)
+        for i in range(n):
+            alive, node = np.arange(m), np.zeros(m, np.int32)
+            for k in range(1, min(deep, n - i) + 1):
+                node = self.next[node, cls[alive, i + k - 1]]
+                on = node < self.none
+                alive, node = alive[on], node[on]
+                if not len(alive):
+                    break
+                edge[k, i, alive], piece[k, i, alive] = self.scores[node], self.ids[node]
+                on = node < self.inner
+                alive, node = alive[on], node[on]
+        every = np.arange(m)
+        best, length = np.zeros((n + 1, m)), np.zeros((n + 1, m), np.int64)
+        for j in range(1, n + 1):
+            ks = np.arange(min(j, deep), 0, -1)  # of equal scores the latest start
+            x = best[j - ks] + edge[ks, j - ks]
+            at = len(ks) - 1 - x[::-1].argmax(axis=0)
+            best[j], length[j] = x[at, every], ks[at]
+        back = np.full((n + 1, m), -np.inf)
+        back[n] = 0.0
+        for i in range(n - 1, -1, -1):
+            ks = np.arange(1, min(deep, n - i) + 1)
+            back[i] = (edge[ks, i] + back[i + ks]).max(axis=0)
+        # the best path, from its end; its edges are taken out before the second best is looked for
+        chosen, count, at = np.zeros((n, m), np.int64), np.zeros(m, np.int64), np.full(m, n)
+        second = np.full(m, -np.inf)
+        while True:
+            on = np.flatnonzero(at)
+            if not len(on):
+                break
+            k = length[at[on], on]
+            start = at[on] - k
+            chosen[count[on], on] = piece[k, start, on]
+            count[on] += 1
+            edge[k, start, on] = -np.inf
+            at[on] = start
+        for k in range(1, deep + 1):
+            np.maximum(second, (best[: n - k + 1] + edge[k, : n - k + 1] + back[k:]).max(axis=0), out=second)
+        score = best[n]
+        with np.errstate(invalid="ignore"):
+            loss = (score - second).tolist()
+        packed = np.ascontiguousarray(chosen.T.astype("<u4"))
+        for w, row, c, v, lost in zip(words, packed, count.tolist(), score.tolist(), loss):
+            yield w, (row[:c][::-1].tobytes(), c, v, lost, w)
+
 
 def _words(s: str) -> Iterator[str]:
     """Spaces stay with the word after them: no piece has a space behind another character."""
@@ -262,8 +402,9 @@ def segmentations(docs: DataFrame, model: str, n: int = BEST, ids: bool = False)
         begin("nbest", _models.clear)
         of = lattice(model)
         for batch in pieces(batches):
-            rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            rows, own = [], batch.column("text").to_pylist()
+            of.prepare([t for t in own if t])
+            for doc, text in zip(batch.column("doc_id").to_pylist(), own):
                 back: dict[bytes, bool] = {}
                 for k, (score, packed) in enumerate(of.best(text, n), 1):
                     numbers = np.frombuffer(packed, "<u4").tolist()
