@@ -4,7 +4,8 @@ A new shard takes only the records on which its score beats the others', so no r
 logarithmic method: score = -weight / ln(u) with u uniform in (0, 1). DataFrame functions only.
 
 Defined results: a null text has size 1 and the checksum of no bytes; a null key is the key '' ; repeated rows go to one shard and take
-slots one after another. Slots follow the key's hash, then key, checksum and size.
+slots one after another. Slots follow a hash of key, checksum and size, then these three: they depend on nothing else, neither on the order
+of the rows nor on how they lie in files.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 from crawlmill.llm.common import written
 
 SHARDS = 8
-#: Parts of a shard in which slots are counted apart.
+#: Parts of a shard in which slots are counted apart, by ranges of the hash.
 PARTS = 256
-#: Rows of one such part beyond which it is split by where its rows lie.
-HOT = 1_000_000
+#: Repeated rows that are dealt out by one task at once.
+BLOCK = 1 << 16
 #: 13 hexadecimal digits of MD5: a whole number under 2^52, exact as a double.
 DIGITS = 13
 
@@ -39,21 +40,26 @@ def shard_of(key: Column, weights: list[float]) -> Column:
     return (-best["shard"]).cast("int")
 
 
-def shards(docs: DataFrame, weights: list[float] | None = None, hot: int = HOT) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard (with one more shard of weight 1)."""
+def shards(docs: DataFrame, weights: list[float] | None = None, parts: int = PARTS) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard (with one more shard of weight 1).
+
+    Rows alike in key, size and checksum are counted before they are shuffled and dealt out again at the end, so a key repeated without end
+    loads no task. The rest is spread over the parts of a shard by the hash that also orders it."""
     weights = weights or [1.0] * SHARDS
-    text = F.coalesce("text", F.lit(""))
-    doc = F.col("doc_id").cast("long")
-    slim = docs.select(doc.alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), hashed(F.coalesce(doc.cast("string"), F.lit(""))).alias("h"))
-    slim = slim.withColumns({"shard": shard_of(F.col("doc_id"), weights), "grown_shard": shard_of(F.col("doc_id"), [*weights, 1.0]), "place": F.monotonically_increasing_id()})
-    slim = written(slim, "shards").withColumn("part", F.shiftright("h", 4 * DIGITS - PARTS.bit_length() + 1))
-    sizes = slim.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    mark = F.broadcast(sizes.where(F.col("n") > hot).select("shard", "part", F.lit(True).alias("is_hot")))  # shards times PARTS at most
-    # a part swollen by repeated keys is also split by the input's partitions
-    split = slim.join(mark, ["shard", "part"], "left").withColumn("salt", F.when(F.col("is_hot"), F.shiftright("place", 33)).otherwise(F.lit(0).cast("long")))
-    counts = split.groupBy("shard", "part", "salt").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("shard").orderBy("part", "salt").rowsBetween(Window.unboundedPreceding, -1))
-    base = counts.select("shard", "part", "salt", F.coalesce(before, F.lit(0)).alias("base"))
-    order = Window.partitionBy("shard", "part", "salt").orderBy("h", F.col("doc_id").asc_nulls_last(), "text_crc32", "size", "place")
-    placed = split.withColumn("within", F.row_number().over(order) - 1).join(F.broadcast(base), ["shard", "part", "salt"])
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("base") + F.col("within")).cast("long").alias("slot"), "grown_shard")
+    text, doc = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
+    slim = docs.select(doc.alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    alike = slim.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_crc32", "size")
+    alike = alike.withColumns({"h": hashed(key), "shard": shard_of(F.col("doc_id"), weights), "grown_shard": shard_of(F.col("doc_id"), [*weights, 1.0])})
+    alike = written(alike.withColumn("part", F.floor(F.col("h") * F.lit(parts) / F.lit(float(1 << 4 * DIGITS))).cast("int")), "shards")
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    base = alike.groupBy("shard", "part").agg(F.sum("n").alias("n")).select("shard", "part", F.coalesce(before, F.lit(0)).alias("base"))
+    order = Window.partitionBy("shard", "part").orderBy("h", F.col("doc_id").asc_nulls_last(), "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = alike.withColumn("within", F.coalesce(F.sum("n").over(order), F.lit(0))).join(F.broadcast(base), ["shard", "part"])  # shards times parts rows
+    placed = placed.withColumn("first", F.col("base") + F.col("within"))
+    single, many = placed.where("n = 1"), placed.where("n > 1")
+    blocks = many.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(BLOCK).cast("long"))).alias("block"))
+    # blocks of one repeated row go to many tasks
+    blocks = blocks.repartition("shard", "first", "block").select("*", F.explode(F.sequence("block", F.least(F.col("n"), F.col("block") + BLOCK) - 1)).alias("more"))
+    out = lambda df, slot: df.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.cast("long").alias("slot"), "grown_shard")
+    return out(single, F.col("first")).unionByName(out(blocks, F.col("first") + F.col("more")))
