@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlmill.llm.common import begin, bounded_batches, pieces, texts
+from crawlmill.llm.common import begin, bounded_batches, pieces, texts, written
 
 WIDTH = 64
 TILE = 32
+#: Pixels that are added up or greyed at once.
+BLOCK = 1 << 18
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 
 
@@ -53,32 +55,42 @@ def _decode_netpbm(b: bytes) -> np.ndarray:
     at, head = 2, []
     while len(head) < (2 if kind in (1, 4) else 3):
         m = _TOKEN.match(b, at)
-        if not m:
-            raise ValueError("short header")
+        if not m or len(m[1]) > 9:
+            raise ValueError("short or unreadable header")
         head.append(int(m[1]))
         at = m.end()
     w, h, top = (*head, 1)[:3]
     if not (w > 0 and h > 0 and 0 < top < 256):
         raise ValueError("unsupported size or depth")
     depth = 3 if kind in (3, 6) else 1
-    count = w * h * depth
+    count, left = w * h * depth, len(b) - at
+    # a plain sample takes two bytes at least, but for the last one
+    if {1: count, 2: 2 * count - 1, 3: 2 * count - 1, 4: -(-w // 8) * h}.get(kind, count) > left:
+        raise ValueError("short raster")
     if kind == 1:
-        bits = re.sub(rb"#[^\n]*|\s", b"", b[at:])[:count]
-        flat = (1 - (np.frombuffer(bits, np.uint8) - 48)) * 255
+        flat = np.frombuffer(re.sub(rb"#[^\n]*|\s", b"", b[at:])[:count], np.uint8) - 48
     elif kind in (2, 3):
-        flat = np.array(re.sub(rb"#[^\n]*", b"", b[at:]).split()[:count], np.int64)
+        samples = re.sub(rb"#[^\n]*", b"", b[at:]).split()[:count]
+        if any(len(x) > 9 for x in samples):
+            raise ValueError("sample above the maximum")
+        flat = np.array([int(x) for x in samples], np.int64)
+        if flat.size and flat.min() < 0:
+            raise ValueError("negative sample")
     elif kind == 4:
         line = -(-w // 8)
-        raw = np.frombuffer(b, np.uint8, count=h * line, offset=at + 1).reshape(h, line)
-        flat = ((1 - np.unpackbits(raw, axis=1)[:, :w]) * 255).ravel()
+        flat = np.unpackbits(np.frombuffer(b, np.uint8, count=h * line, offset=at + 1).reshape(h, line), axis=1)[:, :w].ravel()
     else:
         flat = np.frombuffer(b, np.uint8, count=count, offset=at + 1)
     if flat.size != count:
         raise ValueError("short raster")
-    if top not in (1, 255):
-        flat = flat.astype(np.int64) * 255 // top
-    elif top == 1 and kind not in (1, 4):
+    if flat.max() > top:
+        raise ValueError("sample above the maximum")
+    if kind in (1, 4):
+        flat = (1 - flat) * 255
+    elif top == 1:
         flat = flat * 255
+    elif top < 255:
+        flat = flat.astype(np.int64) * 255 // top
     return flat.astype(np.uint8).reshape((h, w, 3) if depth == 3 else (h, w))
 
 
@@ -86,11 +98,15 @@ def _decode_bmp(b: bytes) -> np.ndarray:
     start, head, w, h, _, bits, packing = struct.unpack_from("<IIiiHHI", b, 10)
     if packing or bits not in (8, 24, 32) or w <= 0 or not h:
         raise ValueError("unsupported BMP")
-    line, each = -(-w * bits // 32) * 4, bits // 8
-    rows = np.frombuffer(b, np.uint8, count=line * abs(h), offset=start).reshape(abs(h), line)[:, : w * each].reshape(abs(h), w, each)
+    line, each, high = -(-w * bits // 32) * 4, bits // 8, abs(h)
+    if start + line * high > len(b):
+        raise ValueError("short raster")
+    rows = np.frombuffer(b, np.uint8, count=line * high, offset=start).reshape(high, line)[:, : w * each].reshape(high, w, each)
     rows = rows[::-1] if h > 0 else rows
     if bits == 8:
         used = struct.unpack_from("<I", b, 46)[0] or 256
+        if used > 256 or 14 + head + 4 * used > len(b):
+            raise ValueError("no palette")
         palette = np.frombuffer(b, np.uint8, count=used * 4, offset=14 + head).reshape(used, 4)[:, 2::-1]
         if rows.max() >= used:
             raise ValueError("index outside the palette")
@@ -100,33 +116,53 @@ def _decode_bmp(b: bytes) -> np.ndarray:
 
 
 def decode(b: bytes) -> np.ndarray:
-    """(h, w) or (h, w, 3) array of uint8; ValueError if it is no image of the formats above."""
+    """(h, w) or (h, w, 3) array of uint8; ValueError if it is no image of the formats above.
+
+    Sizes are held against the bytes before anything is read; samples above the maximum are refused."""
     try:
         if b[:1] == b"P" and b[1:2] in b"123456" and len(b) > 2:
             return _decode_netpbm(b)
         if b[:2] == b"BM":
             return _decode_bmp(b)
-    except (struct.error, IndexError, ValueError) as e:
+    except (struct.error, IndexError, ValueError, OverflowError) as e:
         raise ValueError(str(e)) from None
     raise ValueError("unknown format")
 
 
 def grey(a: np.ndarray) -> np.ndarray:
-    return a if a.ndim == 2 else (a @ np.array([299, 587, 114]) // 1000).astype(np.uint8)
+    """(h, w) of uint8, in blocks of rows: whole numbers between take eight times the room."""
+    if a.ndim == 2:
+        return a
+    out = np.empty(a.shape[:2], np.uint8)
+    step = max(1, BLOCK // a.shape[1])
+    for i in range(0, len(a), step):
+        out[i : i + step] = a[i : i + step] @ np.array([299, 587, 114]) // 1000
+    return out
 
 
 def area_resize(a: np.ndarray, h: int, w: int) -> np.ndarray:
-    """The mean of each target cell's area, fractions of pixels included, from the integral image of a (H, W) array."""
-    total = np.zeros((a.shape[0] + 1, a.shape[1] + 1))
-    np.cumsum(np.cumsum(a, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
+    """The mean of each target cell's area, fractions of pixels included, from the integral image of a (H, W) array.
 
-    def cut(t: np.ndarray, size: int, parts: int) -> np.ndarray:
+    The integral image is made in blocks of rows; of each only the rows that edges of cells lie in or next to are kept."""
+
+    def edges(size: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.arange(parts + 1) * (size / parts)
         low = np.minimum(at.astype(np.int64), size - 1)
-        part = (at - low)[:, None]
-        return t[low] * (1 - part) + t[low + 1] * part
-
-    corner = cut(cut(total, a.shape[0], h).T, a.shape[1], w).T
+        return low, at - low
+
+    def cut(t: np.ndarray, low: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return t[low] * (1 - part[:, None]) + t[low + 1] * part[:, None]
+
+    high, wide = a.shape
+    low, part = edges(high, h)
+    wanted = np.union1d(low, low + 1)
+    rows, carry, step = np.zeros((len(wanted), wide + 1)), np.zeros(wide), max(1, BLOCK // wide)
+    for i in range(0, high, step):
+        sums = carry + np.cumsum(a[i : i + step], axis=0, dtype=np.float64)  # row k: all rows to i + k
+        carry = sums[-1]
+        here = np.flatnonzero((wanted > i) & (wanted <= i + step))
+        rows[here, 1:] = np.cumsum(sums[wanted[here] - i - 1], axis=1)
+    corner = cut(cut(rows, np.searchsorted(wanted, low), part).T, *edges(wide, w)).T
     return np.diff(np.diff(corner, axis=0), axis=1) * (h * w / a.size)
 
 
@@ -163,8 +199,14 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(stored, "doc_id long, n_bytes long, media binary")
 
 
+def kept(docs: DataFrame) -> DataFrame:
+    """store, written to the shared folder as a table of media: what is read from it are the stored bytes."""
+    return written(store(docs), "media")
+
+
 def featured(media: DataFrame, key: str = "doc_id", tiles: bool = False) -> DataFrame:
-    """media's key and n_bytes, with digests of the samples and of the stored form, the difference hash and, if asked for, the NPY tile."""
+    """media's key and n_bytes, with digests of the samples and of the stored form, the difference hash and, if asked for, the tile: the bytes of
+    an NPY file of TILE by TILE grey samples."""
     bounded_batches(media.sparkSession)
     names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256", "error"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
@@ -174,12 +216,13 @@ def featured(media: DataFrame, key: str = "doc_id", tiles: bool = False) -> Data
             return (None,) * 7 + ("null", None)
         whole = len(b), hashlib.sha256(b).hexdigest()
         try:
-            a = decode(b)
+            a = np.ascontiguousarray(decode(b))
         except ValueError as e:
             return None, None, None, *whole, None, None, str(e), None
-        samples = a.tobytes()
-        small = tile(grey(a))
-        return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), *whole, difference_hash(grey(a)), hashlib.sha256(small).hexdigest(), None, small
+        samples = a.reshape(-1)
+        plain = grey(a)
+        small = tile(plain)
+        return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:].tobytes()), *whole, difference_hash(plain), hashlib.sha256(small).hexdigest(), None, small
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("media", dict)

@@ -15,7 +15,7 @@ def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.featured(media.store(table(spark, sf_dir, "documents"))).drop("error")
+    return media.featured(media.kept(table(spark, sf_dir, "documents")), tiles=True).drop("error")
 
 
 def op3_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
