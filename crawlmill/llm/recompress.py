@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,28 +36,18 @@ WINDOW = 13
 ROUNDS = 2
 #: Words handled at once; a longer document is handled in parts that overlap by a window less one word.
 CHUNK = 1 << 14
+#: Bytes of text whose words are named at once.
+AT_ONCE = 2 << 20
+#: Shares of the keys that are shuffled one after another.
+PASSES = 4
 FAR = 1 << 40
 NO_ID = (1 << 63) - 1
 _P, _Q = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-class _Names(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest as xxh
-
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = xxh(word) or 1
-        return h
-
-
-_names = _Names()
-
-
-def word_names(words: list[bytes]) -> np.ndarray:
-    """A 64-bit name for each word."""
-    return np.fromiter(map(_names.__getitem__, words), np.uint64, len(words))
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Words of more bytes are hashed one by one.
+LONG = 512
 
 
 def mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -77,8 +68,54 @@ def _power(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[base]
 
 
+def named_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit name, not 0, for each word of many texts, and at which word each text begins. data: their bytes, one text after another.
+
+    A word's hash takes in eight bytes after eight, each time well mixed; a word's place doesn't matter."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    inner = ~_BLANK[data]
+    first, last = inner.copy(), inner.copy()
+    first[1:] &= ~inner[:-1]
+    last[:-1] &= ~inner[1:]
+    edge = offsets[(offsets > 0) & (offsets < n)]  # a text may begin or end without a blank
+    first[edge], last[edge - 1] = inner[edge], inner[edge - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    eight = np.ndarray((n,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))).data, strides=(1,))
+    left = ends - starts
+    name = mix(left.astype(np.uint64) + np.uint64(_P), 31)
+    long = np.flatnonzero(left > LONG)
+    on, at, left = np.arange(len(starts)), starts, np.where(left > LONG, 0, left)
+    while True:
+        more = np.flatnonzero(left > 0)
+        if not len(more):
+            break
+        on, at, left = on[more], at[more], left[more]
+        block = eight[at]
+        tail = left < 8
+        block[tail] &= (np.uint64(1) << (left[tail] * 8).astype(np.uint64)) - np.uint64(1)
+        name[on] = mix((name[on] ^ block) + np.uint64(_Q), 33)
+        at, left = at + 8, left - 8
+    if len(long):
+        from xxhash import xxh3_64_intdigest as xxh
+
+        name[long] = [xxh(data[i:j].tobytes()) for i, j in zip(starts[long].tolist(), ends[long].tolist())]
+    name[name == 0] = 1
+    return name, np.searchsorted(starts, offsets)
+
+
+def batch_names(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """named_words of a column of texts; a null text has no words."""
+    column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
+    column = column.fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], "<i8", len(column) + 1, 8 * column.offset)
+    held = column.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None else np.zeros(0, np.uint8)
+    return named_words(data, offsets - offsets[0])
+
+
 def forget() -> None:
-    _names.clear()
     _powers.clear()
 
 
@@ -198,18 +235,18 @@ def _chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[np
     held: list[np.ndarray] = [np.zeros(1, np.uint64)]
     rows: list[tuple] = []
     size = 1
-    for batch in pieces(batches):
-        for row in zip(batch.column("doc").to_pylist(), batch.column("th").to_pylist(), texts(batch)):
-            words = (row[2] or b"").split()
-            for i in range(0, max(1, len(words) - window + 1), CHUNK - window + 1):
-                part = words[i : i + CHUNK]
+    for batch in pieces(batches, AT_ONCE):
+        names, firsts = batch_names(batch.column("text"))
+        for doc, th, a, b in zip(batch.column("doc").to_pylist(), batch.column("th").to_pylist(), firsts.tolist(), firsts[1:].tolist()):
+            for i in range(a, max(a + 1, b - window + 1), CHUNK - window + 1):
+                part = names[i : min(b, i + CHUNK)]
                 if len(part) < window:
                     continue
                 if size + len(part) > CHUNK and rows:
                     yield np.concatenate(held), rows
                     held, rows, size = [np.zeros(1, np.uint64)], [], 1
-                rows.append((size, i, row[0], row[1]))
-                held += [word_names(part), np.zeros(1, np.uint64)]
+                rows.append((size, i - a, doc, th))
+                held += [part, np.zeros(1, np.uint64)]
                 size += len(part) + 1
     if rows:
         yield np.concatenate(held), rows
@@ -245,29 +282,43 @@ def repeats(docs: DataFrame, window: int = WINDOW, rounds_: int = ROUNDS) -> Dat
 
     Each step is written, and the tables it was made of are deleted."""
     found = written(anchor_table(docs, window, rounds_), "anchors")
-    keys = found.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min("run").alias("r0"), F.max("run").alias("r1"))
-    shared = written(keys.where("least < most").select("key", "least", (F.col("r0") == F.col("r1")).alias("sure")), "shared")
-    revealed = written(found.drop("run").join(shared, "key").where("not sure or doc > least").select("doc", "th", "at", "n", "sure"), "revealed")
-    discard(found, shared)
-    sure = revealed.where("sure").select("doc", "th", "at", "n")
-    unsure = revealed.where("not sure").groupBy("doc", "th").agg(F.collect_list(F.struct("at", "n")).alias("runs"))  # of one document
+    shared, revealed = [], []
+    for k in range(PASSES):  # a share of the keys at a time, so that only its rows lie shuffled on disk
+        part = found.where(F.pmod(F.shiftrightunsigned("key", 7), F.lit(PASSES)) == k)
+        keys = part.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min("run").alias("r0"), F.max("run").alias("r1"))
+        # what is joined is a table of its own: a key that very many rows share is split by Spark's handling of skewed joins
+        shared.append(written(keys.where("least < most").select("key", "least", (F.col("r0") == F.col("r1")).alias("sure")), "shared"))
+        revealed.append(written(part.join(shared[-1], "key").where("not sure or doc > least").select("key", "run", "doc", "th", "at", "n", "sure"), "revealed"))
+    discard(found, *shared)
+    tables, revealed = revealed, reduce(DataFrame.unionByName, revealed)
+    # equal runs are equal windows: of each run only the rows of its smallest document are left to be looked at window by window
+    unsure = revealed.where("not sure").drop("sure")
+    runs = written(unsure.groupBy("key", "run").agg(F.min("doc").alias("least")), "runs")
+    told = written(unsure.join(runs, ["key", "run"]).select("doc", "th", "at", "n", (F.col("doc") > F.col("least")).alias("sure")), "told")
+    spans = ["doc", "th", "at", "n"]
+    sure = revealed.where("sure").select(*spans).unionByName(told.where("sure").select(*spans))
+    open_ = told.where("not sure").groupBy("doc", "th").agg(F.collect_list(F.struct("at", "n")).alias("runs"))  # of one document
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("recompress", forget)
-        for batch in pieces(batches):
-            for doc, th, text, runs in zip(batch.column("doc").to_pylist(), batch.column("th").to_pylist(), texts(batch), batch.column("runs").to_pylist()):
-                names = word_names(text.split())
-                starts = np.unique(np.concatenate([np.arange(r["at"], r["at"] + r["n"]) for r in runs]))
-                a, b = window_hashes(names, starts, window)
-                k = len(starts)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(k, doc)), pa.array(np.full(k, th)), pa.array(starts)], ["a", "b", "doc", "th", "at"])
-
-    near = _numbered(docs).join(unsure, ["doc", "th"]).select("doc", "th", "text", "runs")
+        for batch in pieces(batches, AT_ONCE):
+            with np.errstate(over="ignore"):
+                every, firsts = batch_names(batch.column("text"))
+                for doc, th, i, j, runs in zip(batch.column("doc").to_pylist(), batch.column("th").to_pylist(), firsts.tolist(), firsts[1:].tolist(), batch.column("runs").to_pylist()):
+                    names, k = every[i:j], 0
+                    starts = np.unique(np.concatenate([np.arange(r["at"], r["at"] + r["n"]) for r in runs]))
+                    while k < len(starts):  # a long document goes by parts
+                        part = starts[k : np.searchsorted(starts, starts[k] + CHUNK)]
+                        a, b = window_hashes(names[part[0] : part[-1] + window], part - part[0], window)
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), th)), pa.array(part)], ["a", "b", "doc", "th", "at"])
+                        k += len(part)
+
+    near = _numbered(docs).join(open_, ["doc", "th"]).select("doc", "th", "text", "runs")
     rows = written(near.mapInArrow(windows, "a long, b long, doc long, th long, at long"), "windows")
-    first = rows.groupBy("a", "b").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    first = written(rows.groupBy("a", "b").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"), "first")
     verified = rows.join(first, ["a", "b"]).where("doc > least").select("doc", "th", "at", F.lit(1).alias("n"))
     spans = written(sure.unionByName(verified).groupBy("doc", "th").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "spans")
-    discard(revealed, rows)
+    discard(*tables, runs, told, rows, first)
     return spans
 
 
@@ -309,22 +360,22 @@ def cut_texts(docs: DataFrame, window: int = WINDOW, rounds_: int = ROUNDS) -> D
     A text of which nothing is cut stays as it is, white space included; else its kept words are joined by one space. A document of which
     nothing is left stays, with an empty text."""
     bounded_batches(docs.sparkSession)
-    names = docs.columns
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    spans = repeats(docs, window, rounds_).select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
-    joined = keyed.join(spans, ["__doc", "__th"], "left").select(*(f"`{c}`" for c in names), "__spans")
-    schema = docs.schema
+    names, schema = docs.columns, docs.schema
+    spans = repeats(docs, window, rounds_)
+    # the row goes as one column, so that no name of its own meets another
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.struct(*(f"`{c}`" for c in names)).alias("row"))
+    joined = keyed.join(spans, ["doc", "th"], "left").select("row", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("recompress", forget)
         for batch in pieces(batches):
+            cols = dict(zip(names, batch.column("row").flatten()))
             out = []
-            for text, spans in zip(texts(batch), batch.column("__spans").to_pylist()):
+            for text, spans in zip(texts(pa.RecordBatch.from_arrays([cols["text"]], ["text"])), batch.column("spans").to_pylist()):
                 if spans:
                     words = text.split()
                     text = b" ".join([w for w, k in zip(words, keep_mask(len(words), spans, window).tolist()) if k])
                 out.append(text)
-            cols = dict(zip(names, batch.columns))
             cols["text"] = pa.array(out, pa.binary()).cast(pa.string())
             if "n_chars" in cols:
                 cols["n_chars"] = pc.utf8_length(cols["text"]).cast(cols["n_chars"].type)
