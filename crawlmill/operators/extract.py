@@ -117,7 +117,7 @@ def links_of(root: Node, base: str) -> list[dict]:
     return out
 
 
-def facts(html: str, url: str, content_selector: str = "") -> dict:
+def facts(html: str, url: str, content_selector: str = "", known: frozenset[str] | None = None) -> dict:
     """All facts of one page."""
     root = parse(html)
     titles = [n.text() for n in root.all("title") if not any(a.tag == "svg" for a in n.above())]
@@ -126,7 +126,7 @@ def facts(html: str, url: str, content_selector: str = "") -> dict:
     heads = {k: [n.text() for n in root.all(k)] for k in ("h1", "h2")}
     first = next(root.all("h1", "h2"), None)
     links = list(root.all("link"))
-    canonical = next((x.attrs["href"].strip() for x in links if "canonical" in x.attrs.get("rel", "").lower().split() and "href" in x.attrs), None)
+    canonical = next((x.attrs["href"].strip() for x in links if x.attrs.get("rel") == "canonical" and "href" in x.attrs), None)
     robots = next((m.attrs.get("content", "").strip() for m in metas if m.attrs.get("name", "").lower() == "robots"), None)
     body = ""
     if content_selector:
@@ -134,7 +134,7 @@ def facts(html: str, url: str, content_selector: str = "") -> dict:
     body = body or body_text(root)
     tags = []
     for x in links:
-        if "alternate" in x.attrs.get("rel", "").lower().split() and x.attrs.get("hreflang") and x.attrs.get("href") and (u := resolve(url, x.attrs["href"])):
+        if x.attrs.get("rel") == "alternate" and x.attrs.get("hreflang") and x.attrs.get("href") and (u := resolve(url, x.attrs["href"])):
             tags.append({"lang": x.attrs["hreflang"], "url": u})
     sheets = [(x.attrs["href"], "stylesheet") for x in links if "stylesheet" in x.attrs.get("rel", "").lower().split() and x.attrs.get("href")] + [(x.attrs["src"], "script") for x in root.all("script") if x.attrs.get("src")]
     subresources = [{"url": u, "kind": k} for u, k in dict.fromkeys((resolve(url, h), k) for h, k in sheets) if u]
@@ -154,17 +154,19 @@ def facts(html: str, url: str, content_selector: str = "") -> dict:
         "has_mixed_content": url.startswith("https://") and any(n.attrs.get(k, "").strip().lower().startswith("http://") for tag, k in MIXED for n in root.all(tag) if tag != "link" or "stylesheet" in n.attrs.get("rel", "").lower()),
         "hreflang_tags": tags, "images": images_of(root, url), "outlinks": links_of(root, url), "subresources": subresources,
         "ttfb_ms": number("ttfb", int), "lcp_ms": number("lcp", int), "fcp_ms": number("fcp", int), "cls": number("cls", float),
-        "meta_refresh": any(m.attrs.get("http-equiv", "").lower() == "refresh" for m in metas), **structured.facts(root, url, og),
+        "meta_refresh": any(m.attrs.get("http-equiv", "").lower() == "refresh" for m in metas), **structured.facts(root, url, og, known),
     }
 
 
-def extract(pages: DataFrame, content_selector: str = "", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """keep, url and the facts of each page's html; a null html has the facts of an empty page. Pixel widths are added in the JVM."""
+def extract(pages: DataFrame, content_selector: str = "", keep: tuple[str, ...] = ("page_id",), known: frozenset[str] | None = None) -> DataFrame:
+    """keep, url and the facts of each page's html; a null html has the facts of an empty page. Pixel widths are added in the JVM.
+
+    known: the names of all schema.org types, without which no type counts as unknown."""
     names = [x.split()[0] for x in re.split(r",(?![^<]*>)", FACTS)]
 
     def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [facts(h or "", u or "", content_selector) for h, u in zip(frame["html"], frame["url"])]
+            rows = [facts(h or "", u or "", content_selector, known) for h, u in zip(frame["html"], frame["url"])]
             out = {k: frame[k] for k in (*keep, "url")}
             yield pd.DataFrame(out | {n: pd.Series([r[n] for r in rows], index=frame.index, dtype="object") for n in names})
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -283,10 +284,23 @@ FILTERS: dict[str, dict[str, Filter]] = {
 PAGE_VIEWS = [v for v in FILTERS if v not in ("SiteStructure", "Overview", "Changes", "Layout")]
 
 
-def _counted(pages: DataFrame, value: str) -> DataFrame:
-    """pages with _n_<value>: how many eligible pages share the value. The counts are small next to pages; Spark picks the join."""
-    counts = pages.where(c("_eligible") & ~p.blank(c(value))).groupBy(c(value).alias("_v")).agg(F.count("*").alias(f"_n_{value}")).where(c(f"_n_{value}") > 1)
-    return pages.join(counts, c(value) == c("_v"), "left").drop("_v")
+def repeated(pages: DataFrame, value: str, eligible: Column, name: str) -> DataFrame:
+    """row_id, name: how many eligible pages share the row's value, for rows whose value two of them share at least.
+
+    Only values are counted, and partial counts come before the shuffle. A value that very many pages share is split by Spark as any skewed join."""
+    some = pages.where(~p.blank(c(value)))
+    counts = some.where(eligible).groupBy(c(value).alias("_v")).agg(F.count("*").alias(name)).where(c(name) > 1)
+    return some.select("row_id", c(value).alias("_v")).join(counts, "_v").select("row_id", name)
+
+
+def gathered(pages: DataFrame, narrow: list[DataFrame]) -> DataFrame:
+    """pages with the columns of narrow tables (row_id and facts of some rows): they are brought together first, so page records are joined once."""
+    if not narrow:
+        return pages
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), narrow)
+    names = [n for n in union.columns if n != "row_id"]
+    met = union.groupBy("row_id").agg(*(F.max(n).alias(n) for n in names)) if len(narrow) > 1 else union
+    return pages.join(met, "row_id", "left")
 
 
 def site_name(pages: DataFrame) -> DataFrame:
@@ -306,36 +320,39 @@ def with_facts(pages: DataFrame) -> DataFrame:
     return known.withColumns({"_indexable": good, "_eligible": c("_document") & ~c("_noindex") & ~c("_canonicalised")})
 
 
-def enrich(pages: DataFrame, needs: set[str] | None = None) -> DataFrame:
-    """pages with what the filters named in needs (of "View.Filter"; None: all) read of other pages."""
-    wanted = lambda *names: needs is None or any(n in needs for n in names)
-    pages = with_facts(pages)
-    out = pages
-    for view, field in FIELDS.items():
-        if wanted(f"{view}.Duplicate"):
-            out = _counted(out, field)
-    if wanted("Content.ExactDuplicates"):
-        out = _counted(out, "content_hash")
-    if wanted("PageTitles.RepeatsSiteName"):
-        out = out.crossJoin(F.broadcast(site_name(out)))  # one row
+def lookups(pages: DataFrame, wanted: Callable[..., bool]) -> list[DataFrame]:
+    """What wanted filters read of other pages, each as a narrow table of row_id and facts."""
+    out: list[DataFrame] = []
+    for view, field in (*FIELDS.items(), ("Content", "content_hash")):
+        if wanted(f"{view}.ExactDuplicates" if view == "Content" else f"{view}.Duplicate"):
+            out.append(repeated(pages, field, c("_eligible"), f"_n_{field}"))
     key = urls.normalized_or_trimmed
     if wanted("Canonicals.CanonicalTargetNotIndexable", "Canonicals.CanonicalToRedirect", "Canonicals.CanonicalToError", "Canonicals.CanonicalChain"):
         facts = F.struct(c("_indexable").alias("indexable"), c("_redirect").alias("redirect"), c("status").alias("status"), c("_document").alias("document"), c("_canonicalised").alias("canonicalised"))
+        asked = pages.where("_canonicalised").select("row_id", key(p.resolved_canonical()).alias("_k"))
         targets = pages.groupBy(key(c("url")).alias("_k")).agg(F.max_by(facts, c("row_id")).alias("_target"))  # of several rows the last
-        out = out.withColumn("_c", F.when(c("_canonicalised"), key(p.resolved_canonical()))).join(targets, c("_c") == c("_k"), "left").drop("_c", "_k")
+        out.append(asked.join(targets, "_k").select("row_id", "_target"))
     if wanted("ResponseCodes.RedirectChain", "ResponseCodes.RedirectLoop", "ResponseCodes.RedirectToError"):
-        out = redirects.annotate(out, pages)
+        out.append(redirects.ways(pages))
     if wanted("Images.ImageOver100Kb", "Images.ImageBroken"):
         resources = pages.where("is_resource").groupBy(c("url").alias("_src")).agg(F.max_by("size_bytes", "row_id").alias("_s"), F.max_by(F.struct("status"), "row_id")["status"].alias("_st"))
         bad = resources.where((c("_s") > LARGE_IMAGE) | (c("_st") >= 400))
-        hit = out.select("row_id", F.explode(F.array_distinct(F.transform("images", lambda i: i["src"]))).alias("_src")).join(bad, "_src")
-        found = hit.groupBy("row_id").agg(F.bool_or(p.yes(c("_s") > LARGE_IMAGE)).alias("_large_image"), F.bool_or(p.yes(c("_st") >= 400)).alias("_broken_image"))
-        out = out.join(found, "row_id", "left")
+        hit = pages.select("row_id", F.explode(F.array_distinct(F.transform("images", lambda i: i["src"]))).alias("_src")).join(bad, "_src")
+        out.append(hit.groupBy("row_id").agg(F.bool_or(p.yes(c("_s") > LARGE_IMAGE)).alias("_large_image"), F.bool_or(p.yes(c("_st") >= 400)).alias("_broken_image")))
     if wanted("Links.LinkBroken", "Links.LinkRedirected"):
         statuses = pages.where(c("status").isNotNull()).groupBy(c("url").alias("_dst")).agg(F.max_by("status", "row_id").alias("_st")).where("_st >= 300")
-        hit = out.select("row_id", F.explode(F.array_distinct(F.transform("outlinks", lambda x: x["dst_url"]))).alias("_dst")).join(statuses, "_dst")
-        found = hit.groupBy("row_id").agg(F.bool_or(c("_st") >= 400).alias("_broken_link"), F.bool_or(c("_st").between(300, 399)).alias("_redirected_link"))
-        out = out.join(found, "row_id", "left")
+        hit = pages.select("row_id", F.explode(F.array_distinct(F.transform("outlinks", lambda x: x["dst_url"]))).alias("_dst")).join(statuses, "_dst")
+        out.append(hit.groupBy("row_id").agg(F.bool_or(c("_st") >= 400).alias("_broken_link"), F.bool_or(c("_st").between(300, 399)).alias("_redirected_link")))
+    return out
+
+
+def enrich(pages: DataFrame, needs: set[str] | None = None, more: Callable[[DataFrame], list[DataFrame]] = lambda pages: []) -> DataFrame:
+    """pages with what the filters named in needs (of "View.Filter"; None: all) read of other pages. more: further narrow tables, of pages with facts."""
+    wanted = lambda *names: needs is None or any(n in needs for n in names)
+    pages = with_facts(pages)
+    out = gathered(pages, lookups(pages, wanted) + more(pages))
+    if wanted("PageTitles.RepeatsSiteName"):
+        out = out.crossJoin(F.broadcast(site_name(pages)))  # one row
     return out
 
 

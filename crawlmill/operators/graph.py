@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlmill.functions import urls
@@ -14,19 +16,35 @@ DAMPING, ITERATIONS = 0.85, 30
 CUT_EVERY = 5
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df by way of the checkpoint folder in spark.checkpoint.dir; a folder of our own only where none is set and the master is local."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of our own only where none is set and the master is local."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        if set_ := df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        if set_ := spark.conf.get("spark.checkpoint.dir", None):
             sc.setCheckpointDir(set_)
         elif sc.master.startswith("local"):
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="crawlmill-"))
         else:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df by way of a checkpoint in the shared folder. For narrow tables: a checkpoint is read whole, row by row."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: columns are pruned, and lost executors cost nothing. The files go when the application ends."""
+    spark, schema = df.sparkSession, df.schema
+    to = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(to)
+    path = spark._jvm.org.apache.hadoop.fs.Path(to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(schema).parquet(to)
+
+
 def links(pages: DataFrame) -> DataFrame:
     """src, dst, anchor, rel, internal, csr_only, pos: a row for each link, in order."""
     each = pages.select(c("url").alias("src"), "row_id", F.posexplode("outlinks").alias("pos", "x"))
@@ -46,13 +64,13 @@ def outlinks(of: DataFrame) -> DataFrame:
     return of.groupBy(c("src").alias("url")).agg(*(x for n, cond in counts.items() for x in (F.count_if(cond).alias(n), F.count_distinct(F.when(cond, c("dst"))).alias(f"unique_{n}"))))
 
 
-def depths(edges: DataFrame, root: str, most: int = 10_000) -> DataFrame:
-    """node, depth: hops from the root over edges (src, dst), level by level; nodes that aren't reached have no row."""
+def depths(edges: DataFrame, root: str) -> DataFrame:
+    """node, depth: hops from the root over edges (src, dst), level by level until a level has no new node; nodes that aren't reached have no row."""
     spark = edges.sparkSession
     edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
     seen = cut(spark.createDataFrame([(root, 0)], "node string, depth int"))
     front = seen
-    for level in range(1, most):
+    for level in count(1):
         new = edges.join(front, edges["src"] == front["node"]).select(c("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(level))
         front = cut(new)
         if not front.limit(1).count():

@@ -13,7 +13,6 @@ from crawlmill.operators.graph import cut
 
 c = F.col
 TOLERANCE = 4
-DEEPEST = 64
 #: The shares that make a path part of every page, of a template's core, of its optional part, and a page a member.
 CHROME, CORE, OPTIONAL, COVERED, EXPLAINED = 0.85, 0.75, 0.25, 0.85, 0.7
 SAMPLE = 400
@@ -28,17 +27,24 @@ def element_key(tag: Column, test_id: Column, classes: Column) -> Column:
 
 
 def with_paths(boxes: DataFrame) -> DataFrame:
-    """boxes with path: numbered keys from the root down; boxes whose parents are missing start at themselves."""
+    """boxes with path: numbered keys from the root down; boxes whose parents are missing start at themselves.
+
+    Paths are doubled: what is above a box so far is joined with what is above the topmost of it, so rounds grow as the logarithm of the
+    depth. A box that is its own ancestor has no root; ValueError."""
     n = F.row_number().over(Window.partitionBy("url", "parent", "key").orderBy("idx"))
     own = cut(boxes.withColumn("step", F.concat("key", F.lit("#"), n)))
-    up = own.select(c("url").alias("u"), c("idx").alias("i"), c("parent").alias("next"), c("step").alias("above"))
+    known = own.select(c("url").alias("u"), c("idx").alias("i"))
+    # at: the nearest box above the path so far, NULL at the root
     at = own.select("url", "idx", c("parent").alias("at"), c("step").alias("path"))
-    for level in range(DEEPEST):
-        at = at.join(up, (c("url") == c("u")) & (c("at") == c("i")), "left").select("url", "idx", c("next").alias("at"), F.when(c("i").isNotNull(), F.concat("above", F.lit(" > "), "path")).otherwise(c("path")).alias("path"))
-        if level % 4 == 3:
-            at = cut(at)
-            if not at.where("at is not null").limit(1).count():
-                break
+    at = cut(at.join(known, (c("url") == c("u")) & (c("at") == c("i")), "left").select("url", "idx", c("i").alias("at"), "path"))
+    left, rounds = at.where("at is not null").count(), 0
+    most = max(1, left).bit_length() + 1
+    while left:
+        if rounds > most:
+            raise ValueError("boxes that are above themselves")
+        up = at.select(c("url").alias("u"), c("idx").alias("i"), c("at").alias("next"), c("path").alias("above"))
+        at = cut(at.join(up, (c("url") == c("u")) & (c("at") == c("i")), "left").select("url", "idx", c("next").alias("at"), F.when(c("i").isNotNull(), F.concat("above", F.lit(" > "), "path")).otherwise(c("path")).alias("path")))
+        left, rounds = at.where("at is not null").count(), rounds + 1
     return own.join(at.select("url", "idx", "path"), ["url", "idx"])
 
 

@@ -12,10 +12,15 @@ from crawlmill.operators.graph import cut
 c = F.col
 
 
-def hops(pages: DataFrame, raw: bool) -> DataFrame:
-    """node, to: one hop a URL, by its raw or normalised form; of several rows the last."""
-    form = (lambda u: u) if raw else urls.normalized_or_trimmed
-    return pages.groupBy(form(c("url")).alias("node")).agg(F.max_by(F.struct(form(c("redirect_url")).alias("to"), "status", p.is_redirect().alias("redirect")), "row_id").alias("last")).select("node", "last.*")
+def hops(pages: DataFrame) -> DataFrame:
+    """node, to, status, redirect: one hop a URL, by its normalised form and, as "raw " and the URL, by its raw one; of several rows the last.
+
+    Both forms go through one table, so chains are followed once."""
+    key = urls.normalized_or_trimmed
+    raw = lambda u: F.concat(F.lit("raw "), u)
+    forms = F.array(*(F.struct(form(c("url")).alias("node"), form(c("redirect_url")).alias("to")) for form in (key, raw)))
+    each = pages.select("row_id", "status", p.is_redirect().alias("redirect"), F.explode(forms).alias("hop"))
+    return each.groupBy("hop.node").agg(F.max_by(F.struct("hop.to", "status", "redirect"), "row_id").alias("last")).select("node", "last.*")
 
 
 def ends(edges: DataFrame) -> DataFrame:
@@ -33,15 +38,18 @@ def ends(edges: DataFrame) -> DataFrame:
     return at
 
 
-def annotate(out: DataFrame, pages: DataFrame) -> DataFrame:
-    """out with _to_redirect (its target redirects as well), _in_loop (by raw URLs) and _end_status (of the last row of its chain)."""
-    of = cut(hops(pages, raw=False))
-    some = of.where(c("to").isNotNull())
-    known = of.select(c("node").alias("_n"), c("redirect").alias("_to_redirect"))
-    stop = ends(some).join(of.where(~c("redirect")).select(c("node").alias("at"), c("status").alias("_end_status")), "at").select(c("node").alias("_e"), "_end_status")
-    raw = cut(hops(pages, raw=True).where(c("to").isNotNull()).select("node", "to"))
-    moving = ends(raw).join(raw.select(c("node").alias("at")), "at", "left_semi").select(c("node").alias("_l"), F.lit(True).alias("_in_loop"))
+def ways(pages: DataFrame) -> DataFrame:
+    """row_id, _to_redirect (its target redirects as well), _in_loop (by raw URLs), _end_status (of the last row of its chain) of rows that have any.
+
+    Only URLs with a hop and those that hops lead to are followed: few next to all pages."""
+    every = hops(pages)
+    some = cut(every.where(c("to").isNotNull()).select("node", "to"))
+    at = ends(some)
+    met = every.join(some.select(c("to").alias("node")).unionByName(at.select(c("at").alias("node"))).distinct(), "node", "left_semi")
+    known = cut(met.select("node", "status", "redirect"))
+    stop = at.join(known.where(~c("redirect")).select(c("node").alias("at"), c("status").alias("_end_status")), "at").select("node", "_end_status")
+    loops = at.join(some.select(c("node").alias("at")), "at", "left_semi").where(c("node").startswith("raw ")).select(F.substr("node", F.lit(5)).alias("_url"), F.lit(True).alias("_in_loop"))
     key = urls.normalized_or_trimmed
-    out = out.withColumn("_t", key(c("redirect_url"))).withColumn("_u", key(c("url")))
-    out = out.join(known, c("_t") == c("_n"), "left").join(stop, c("_u") == c("_e"), "left").join(moving, c("url") == c("_l"), "left")
-    return out.drop("_t", "_u", "_n", "_e", "_l")
+    rows = pages.select("row_id", c("url").alias("_url"), key(c("url")).alias("_u"), key(c("redirect_url")).alias("_t"))
+    joined = rows.join(known.select(c("node").alias("_t"), c("redirect").alias("_to_redirect")), "_t", "left").join(stop.select(c("node").alias("_u"), "_end_status"), "_u", "left").join(loops, "_url", "left")
+    return joined.select("row_id", "_to_redirect", "_in_loop", "_end_status").where("_to_redirect is not null or _in_loop or _end_status is not null")

@@ -4,11 +4,14 @@ The hash of a shingle is the first 64 bits of its MD5, so fingerprints are the s
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlmill.operators.graph import stored
+
 c = F.col
 SHINGLE = 3
 THRESHOLD = 90
@@ -45,37 +48,55 @@ def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
     return votes.select(key, F.shiftleft(packed("h"), 32).bitwiseOR(packed("l")).alias("simhash"))
 
 
-def near_pairs(prints: DataFrame, key: str, threshold: int = THRESHOLD) -> DataFrame:
-    """a, b (a < b), distance: pairs of keys whose fingerprints differ in as many bits as the threshold allows.
+def _blocks(most: int, n: int) -> tuple[int, int]:
+    """(blocks, equal): fingerprints that differ in `most` bits at most agree in `equal` of so many blocks at least.
+
+    More equal blocks make longer keys and more rows. The fewest are taken for which a key of random fingerprints holds few; results are the same."""
+    equal = 1
+    while equal < 5 and n >> 64 * equal // (most + equal) > 1:
+        equal += 1
+    return most + equal, equal
+
 
-    k differing bits leave one of k + 1 bands equal, so bands are the join keys; distinct fingerprints are joined, then keys attached."""
+def near_pairs(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """f, g (f < g), distance: pairs of distinct fingerprints (a column f) that differ in as many bits as the threshold allows."""
     most = math.ceil((100 - threshold) * 64 / 100)
-    bands = most + 1
-    edges = [64 * i // bands for i in range(bands + 1)]
-    distinct = prints.select(c("simhash").alias("f")).distinct()
-    band = lambda i: F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("f", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1).cast("long")).alias("v"))
-    cut = distinct.select("f", F.explode(F.array(*map(band, range(bands)))).alias("band"))
-    x, y = cut.alias("x"), cut.alias("y")
-    apart = F.bit_count(c("x.f").bitwiseXOR(c("y.f")))
-    close = x.join(y, (c("x.band") == c("y.band")) & (c("x.f") < c("y.f")) & (apart <= most)).select(c("x.f").alias("f"), c("y.f").alias("g"), apart.alias("distance")).distinct()
-    same = distinct.select("f", c("f").alias("g"), F.lit(0).alias("distance"))
-    p, q = prints.select(c(key).alias("a"), c("simhash").alias("f")), prints.select(c(key).alias("b"), c("simhash").alias("g"))
-    pairs = close.unionByName(same).join(p, "f").join(q, "g").where(c("a") != c("b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct()
+    blocks, equal = _blocks(most, distinct.count())
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    keys = []
+    for k, some in enumerate(itertools.combinations(range(blocks), equal)):
+        mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in some)
+        keys.append(F.struct(F.lit(k).alias("k"), c("f").bitwiseAND(F.lit(mask - (mask >> 63 << 64))).alias("v")))
+    x, y = (distinct.select(c("f").alias(name), F.explode(F.array(*keys)).alias("key")).select(name, "key.k", "key.v") for name in "fg")
+    apart = F.bit_count(c("f").bitwiseXOR(c("g")))
+    # both sides are many times what Spark expects of them: never broadcast
+    met = x.hint("merge").join(y, ["k", "v"]).where((c("f") < c("g")) & (apart <= most))
+    return met.select("f", "g", apart.alias("distance")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, threshold: int = THRESHOLD) -> DataFrame:
     """key, closest_similarity (percent), near_duplicate_count, near_duplicates (up to 50 keys): documents with near duplicates.
 
-    Equal texts raise the similarity but don't count as near duplicates."""
-    prints = fingerprints(docs, key, text).join(docs.select(key, F.md5(F.coalesce(text, F.lit(""))).alias("hash")), key)
-    hashes = prints.select(c(key).alias("k"), "hash")
-    pairs = near_pairs(prints, key, threshold)
-    both = pairs.select(c("a").alias("k"), c("b").alias("other"), "distance").unionByName(pairs.select(c("b").alias("k"), c("a").alias("other"), "distance"))
-    told = both.join(hashes, "k").join(hashes.select(c("k").alias("other"), c("hash").alias("other_hash")), "other")
-    near = ~((c("distance") == 0) & (c("hash") == c("other_hash")))
-    place = F.row_number().over(Window.partitionBy("k").orderBy(F.when(near, 0).otherwise(1), "other"))
-    told = told.withColumn("place", place)
-    listed = F.sort_array(F.collect_list(F.when(near & (c("place") <= MOST_LISTED), c("other"))))
-    out = told.groupBy("k").agg(F.max(F.floor((64 - c("distance")) * 100 / 64)).cast("int").alias("closest_similarity"), F.count_if(near).alias("near_duplicate_count"), listed.alias("near_duplicates"))
-    return out.where("near_duplicate_count > 0").withColumnRenamed("k", key)
+    Equal texts raise the similarity but don't count as near duplicates. Documents with one fingerprint and one text are a class that shares
+    all three facts, so copies are never paired with one another; what is listed of a class or fingerprint is its first keys only."""
+    some = docs.select(c(key).alias("k"), F.md5(F.coalesce(text, F.lit(""))).alias("hash"))
+    prints = stored(fingerprints(docs, key, text).withColumnRenamed(key, "k").join(some, "k").withColumnRenamed("simhash", "f"), "prints")
+    classes = prints.groupBy("f", "hash").agg(F.count("*").alias("own"))
+    totals = stored(classes.groupBy("f").agg(F.sum("own").alias("n")), "totals")
+    first = lambda df, by, most: df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("k"))).where(c("_r") <= most).drop("_r")
+    # of a class's first 50 keys at most 50 are among a fingerprint's first 100, so 50 of other classes are there
+    heads = first(first(prints, ["f", "hash"], MOST_LISTED), ["f"], 2 * MOST_LISTED)
+    heads = stored(heads.groupBy("f").agg(F.sort_array(F.collect_list(F.struct("k", "hash"))).alias("heads")), "heads")
+    pairs = near_pairs(totals.select("f"), threshold)
+    both = stored(pairs.unionByName(pairs.select(c("g").alias("f"), c("f").alias("g"), "distance")), "pairs")
+    others = both.join(totals.select(c("f").alias("g"), "n"), "g").groupBy("f").agg(F.sum("n").alias("far"), F.min("distance").alias("nearest"))
+    listed = both.join(heads.select(c("f").alias("g"), F.explode(F.slice("heads", 1, MOST_LISTED)).alias("x")), "g").select("f", c("x.k").alias("k"))
+    listed = first(listed, ["f"], MOST_LISTED).groupBy("f").agg(F.collect_list("k").alias("far_keys"))
+    told = classes.join(totals, "f").join(heads, "f").join(others, "f", "left").join(listed, "f", "left")
+    same = F.transform(F.filter("heads", lambda x: x["hash"] != c("hash")), lambda x: x["k"])
+    keys = F.sort_array(F.concat(same, F.coalesce("far_keys", F.slice(same, 1, 0))))
+    count = F.coalesce("far", F.lit(0)) + c("n") - c("own")
+    distance = F.when(c("n") > 1, 0).otherwise(c("nearest"))
+    told = told.select("f", "hash", F.floor((64 - distance) * 100 / 64).cast("int").alias("closest_similarity"), count.alias("near_duplicate_count"), F.slice(keys, 1, MOST_LISTED).alias("near_duplicates"))
+    out = prints.join(told.where("near_duplicate_count > 0"), ["f", "hash"])
+    return out.select(c("k").alias(key), "closest_similarity", "near_duplicate_count", "near_duplicates")

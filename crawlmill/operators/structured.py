@@ -10,30 +10,30 @@ from crawlmill.functions.html import Node
 
 ERROR, WARNING = "error", "warning"
 #: By type the required and the recommended properties.
-RULES: dict[str, tuple[str, str]] = {
-    "Article": ("author datePublished headline image", "dateModified mainEntityOfPage publisher"),
-    "Product": ("name", "image description brand review aggregateRating offers"),
-    "Recipe": ("name", "image description recipeIngredient recipeInstructions totalTime recipeYield recipeCategory recipeCuisine nutrition"),
-    "FAQPage": ("mainEntity", ""),
-    "Event": ("name startDate location", "endDate description image offers"),
-    "LocalBusiness": ("name address", "telephone url image priceRange openingHours"),
-    "BreadcrumbList": ("itemListElement", ""),
-    "Organization": ("name", "url logo contactPoint sameAs"),
-    "VideoObject": ("name description thumbnailUrl uploadDate", "duration contentUrl embedUrl"),
-    "JobPosting": ("title description datePosted hiringOrganization jobLocation", "employmentType salary validThrough"),
-    "HowTo": ("name", "step image totalTime estimatedCost"),
-    "Course": ("name description provider", "url"),
-    "Book": ("name", "author url isbn workExample"),
-    "Review": ("reviewRating author", "itemReviewed reviewBody"),
-    "SoftwareApplication": ("name", "operatingSystem applicationCategory offers"),
-    "Dataset": ("name description", "url creator distribution temporalCoverage"),
+RULES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "Article": (("author", "datePublished", "headline", "image"), ("dateModified", "mainEntityOfPage", "publisher")),
+    "Product": (("name",), ("image", "description", "brand", "review", "aggregateRating", "offers")),
+    "Recipe": (("name",), ("image", "description", "recipeIngredient", "recipeInstructions", "totalTime", "recipeYield", "recipeCategory", "recipeCuisine", "nutrition")),
+    "FAQPage": (("mainEntity",), ()),
+    "Event": (("name", "startDate", "location"), ("endDate", "description", "image", "offers")),
+    "LocalBusiness": (("name", "address"), ("telephone", "url", "image", "priceRange", "openingHours")),
+    "BreadcrumbList": (("itemListElement",), ()),
+    "Organization": (("name",), ("url", "logo", "contactPoint", "sameAs")),
+    "VideoObject": (("name", "description", "thumbnailUrl", "uploadDate"), ("duration", "contentUrl", "embedUrl")),
+    "JobPosting": (("title", "description", "datePosted", "hiringOrganization", "jobLocation"), ("employmentType", "salary", "validThrough")),
+    "HowTo": (("name",), ("step", "image", "totalTime", "estimatedCost")),
+    "Course": (("name", "description", "provider"), ("url",)),
+    "Book": (("name",), ("author", "url", "isbn", "workExample")),
+    "Review": (("reviewRating", "author"), ("itemReviewed", "reviewBody")),
+    "SoftwareApplication": (("name",), ("operatingSystem", "applicationCategory", "offers")),
+    "Dataset": (("name", "description"), ("url", "creator", "distribution", "temporalCoverage")),
 }
 #: Properties that hold URLs, and where an object keeps the URL it stands for.
-URL_PROPERTIES = "@id url image logo sameAs thumbnailUrl contentUrl embedUrl mainEntityOfPage acquireLicensePage".split()
-NESTED_URLS = "@id url contentUrl".split()
+URL_PROPERTIES = ("@id", "url", "image", "logo", "sameAs", "thumbnailUrl", "contentUrl", "embedUrl", "mainEntityOfPage", "acquireLicensePage")
+NESTED_URLS = ("@id", "url", "contentUrl")
 #: Where JSON-LD items hold further items.
-INSIDE = "@graph mainEntity hasPart itemListElement item".split()
-GTIN_KEYS = "gtin gtin13 gtin12 gtin8 gtin14 isbn".split()
+INSIDE = ("@graph", "mainEntity", "hasPart", "itemListElement", "item")
+GTIN_KEYS = ("gtin", "gtin13", "gtin12", "gtin8", "gtin14", "isbn")
 PLACEHOLDERS = {"null", "undefined", "NaN", "#", "-"}
 
 
@@ -125,88 +125,99 @@ def url_issues(type_name: str, prop: str, value, base: str) -> Iterator[dict]:
         yield issue(ERROR, type_name, f"invalid-url:{prop}", f"{value} is not a URL")
 
 
-def _number(value) -> float | None:
-    try:
-        return None if isinstance(value, bool) else float(value)
-    except (TypeError, ValueError):
+def _place(value) -> int | None:
+    """A whole number from 0, also as text; a fraction, a sign or a truth value is none."""
+    if isinstance(value, bool):
         return None
+    if isinstance(value, int):
+        return value if value >= 0 else None
+    if isinstance(value, str):
+        digits = value.strip().removeprefix("+")
+        return int(digits) if digits.isascii() and digits.isdigit() and len(digits) < 20 else None
+    return None
+
+
+def _said(value) -> bool:
+    """Whether a name is there: text that isn't blank, or a number."""
+    return bool(value.strip()) if isinstance(value, str) else isinstance(value, (int, float)) and not isinstance(value, bool)
+
+
+def level_issues(level: int, entry, of: int, base: str) -> Iterator[dict]:
+    """One level of a breadcrumb; level counts from 1, of is the number of levels."""
+    name = "ListItem"
+    if not isinstance(entry, dict):
+        yield issue(ERROR, name, "invalid-value:itemListElement", f"level {level} is no object")
+        return
+    kind = entry.get("@type")
+    if isinstance(kind, str) and bare_type(kind) != name:
+        yield issue(WARNING, name, "invalid-value:@type", f"level {level} is a {kind}; only a ListItem is read")
+    place = _place(entry.get("position"))
+    if "position" not in entry:
+        yield issue(ERROR, name, "missing-required:position", f"level {level} has no position")
+    elif place is None:
+        yield issue(ERROR, name, "invalid-value:position", f"the position of level {level} is no whole number: {json.dumps(entry['position'])}")
+    target = entry.get("item")
+    if not (_said(entry.get("name")) or isinstance(target, dict) and _said(target.get("name"))):
+        yield issue(ERROR, name, "missing-required:name", f"level {level} has no name")
+    if "item" not in entry:
+        # the page itself needs no address: the level whose position is last, or which is written last if it has no position
+        if (place if place is not None else level) != of:
+            yield issue(ERROR, name, "missing-required:item", f"level {level} has no item; only the last level needs none")
+    elif isinstance(target, (str, dict)):
+        if isinstance(target, dict) and not any(k in target for k in NESTED_URLS):
+            yield issue(ERROR, name, "missing-required:item.@id", f"the item of level {level} has neither @id nor url")
+        if not (isinstance(target, dict) and "@type" in target):  # an item with a type is looked at on its own
+            yield from url_issues(name, "item", target, base)
+    else:
+        yield issue(ERROR, name, "invalid-value:item", f"the item of level {level} is neither an address nor an object: {json.dumps(target)}")
 
 
 def breadcrumb_issues(item: dict, base: str) -> Iterator[dict]:
-    """Each level needs a position, a name and, but for the last, a page; positions run 1, 2, 3."""
+    """Each level needs a position, a name and, but for the last, a page; positions run 1, 2, 3 in any order."""
     name = "BreadcrumbList"
     if "itemListElement" not in item:
         return
     levels = item["itemListElement"]
     levels = [levels] if isinstance(levels, dict) else levels
     if not isinstance(levels, list):
-        yield issue(ERROR, name, "invalid-value:itemListElement", "not a list of ListItem objects")
+        yield issue(ERROR, name, "invalid-value:itemListElement", "itemListElement is no list of ListItem objects")
         return
     if not levels:
-        yield issue(ERROR, name, "empty-value:itemListElement", "no levels")
+        yield issue(ERROR, name, "empty-value:itemListElement", "itemListElement has no levels")
         return
-    places: list[float] = []
-    numbered = [(_number(x.get("position")), k) for k, x in enumerate(levels) if isinstance(x, dict)]
-    deepest = max(((p, k) for p, k in numbered if p is not None), default=(None, len(levels) - 1))[1]
-    for k, x in enumerate(levels):
-        if not isinstance(x, dict):
-            yield issue(ERROR, name, "invalid-value:itemListElement", f"level {k + 1} is no object")
-            continue
-        if isinstance(x.get("@type"), str) and bare_type(x["@type"]) != "ListItem":
-            yield issue(WARNING, name, "invalid-value:@type", f"level {k + 1} is no ListItem")
-        place = _number(x.get("position"))
-        if x.get("position") is None:
-            yield issue(ERROR, name, "missing-required:position", f"level {k + 1}")
-        elif place is None:
-            yield issue(ERROR, name, "invalid-value:position", f"level {k + 1}")
-        else:
-            places.append(place)
-        target = x.get("item")
-        named = x.get("name") or (target.get("name") if isinstance(target, dict) else None)
-        if not (isinstance(named, str) and named.strip()):
-            yield issue(ERROR, name, "missing-required:name", f"level {k + 1}")
-        if target is None:
-            if k != deepest:
-                yield issue(ERROR, name, "missing-required:item", f"level {k + 1}")
-        elif isinstance(target, dict):
-            if not any(target.get(key) for key in ("@id", "url")):
-                if k != deepest:
-                    yield issue(ERROR, name, "missing-required:item.@id", f"level {k + 1}")
-            else:
-                yield from url_issues(name, "item.@id" if target.get("@id") else "item.url", target.get("@id") or target.get("url"), base)
-        elif isinstance(target, str):
-            yield from url_issues(name, "item", target, base)
-        else:
-            yield issue(ERROR, name, "invalid-value:item", f"level {k + 1}")
-    if places and sorted(places) != [float(k + 1) for k in range(len(places))]:
+    for k, entry in enumerate(levels, 1):
+        yield from level_issues(k, entry, len(levels), base)
+    places = sorted(p for x in levels if isinstance(x, dict) and (p := _place(x.get("position"))) is not None)
+    if len(places) == len(levels) and places != list(range(1, len(levels) + 1)):
         yield issue(WARNING, name, "invalid-value:position-order", "positions are not 1, 2, 3, ...")
 
 
 def offer_issues(item: dict) -> Iterator[dict]:
-    if not any(k in item for k in ("offers", "review", "aggregateRating")):
-        yield issue(ERROR, "Product", "missing-required:offers|review|aggregateRating", "needs one of them")
+    if all(item.get(k) is None for k in ("offers", "review", "aggregateRating")):
+        yield issue(ERROR, "Product", "missing-required:offers|review|aggregateRating", "a product needs one of offers, review and aggregateRating")
     offers = item.get("offers")
     for o in offers if isinstance(offers, list) else [offers]:
         if not isinstance(o, dict):
             continue
-        if not any(k in o for k in ("price", "lowPrice", "priceSpecification")):
-            yield issue(ERROR, "Offer", "missing-required:price", "")
+        kind = o.get("@type")
+        range_ = isinstance(kind, str) and bare_type(kind) == "AggregateOffer"
+        if not any(k in o for k in ("price", "lowPrice" if range_ else "priceSpecification")):
+            yield issue(ERROR, "Offer", "missing-required:price", "an offer needs a price")
         if not any(k in o for k in ("priceCurrency", "priceSpecification")):
-            yield issue(ERROR, "Offer", "missing-required:priceCurrency", "")
-        if "availability" not in o and bare_type(str(o.get("@type", ""))) != "AggregateOffer":
-            yield issue(WARNING, "Offer", "missing-recommended:availability", "")
+            yield issue(ERROR, "Offer", "missing-required:priceCurrency", "an offer needs a priceCurrency")
+        if "availability" not in o:
+            yield issue(WARNING, "Offer", "missing-recommended:availability", "an offer should state its availability")
 
 
 def item_issues(type_name: str, item: dict, base: str, known: frozenset[str] | None = None) -> list[dict]:
-    """known: the names of all types; without them no type is unknown."""
+    """known: the names of all types (vocabulary()); without them no type is unknown."""
     out = [issue(ERROR, type_name, "unknown-type", f"'{type_name}' is no known type")] if known is not None and type_name not in known and type_name not in RULES else []
     for prop in URL_PROPERTIES:
         if prop in item:
             out += url_issues(type_name, prop, item[prop], base)
-    if type_name in RULES:
-        required, recommended = (x.split() for x in RULES[type_name])
-        out += [issue(ERROR, type_name, f"missing-required:{x}", "") for x in required if x not in item]
-        out += [issue(WARNING, type_name, f"missing-recommended:{x}", "") for x in recommended if x not in item]
+    required, recommended = RULES.get(type_name, ((), ()))
+    out += [issue(ERROR, type_name, f"missing-required:{x}", f"{type_name} needs {x}") for x in required if x not in item]
+    out += [issue(WARNING, type_name, f"missing-recommended:{x}", f"{type_name} should have {x}") for x in recommended if x not in item]
     if type_name == "Product":
         out += offer_issues(item)
     if type_name == "BreadcrumbList":
@@ -214,6 +225,11 @@ def item_issues(type_name: str, item: dict, base: str, known: frozenset[str] | N
     return out
 
 
+def vocabulary(lines) -> frozenset[str]:
+    """The names of types from the lines of a list, with or without their address; blank lines and those that begin with # are left out."""
+    return frozenset(bare_type(x.strip()) for x in lines if x.strip() and not x.lstrip().startswith("#"))
+
+
 def _scalar(value) -> str | None:
     if isinstance(value, str):
         return value.strip() or None
@@ -228,7 +244,7 @@ def product(items: list[tuple[str, dict]], types: list[str], og_type: str | None
     """What a product page says of its product; None for other pages. Of several products the last one's fields count."""
     if "Product" not in types and og_type not in ("product", "product.item"):
         return None
-    out = dict.fromkeys("price currency availability sku gtin brand".split()) | {"has_image": False, "has_review_or_rating": False}
+    out = dict.fromkeys(("price", "currency", "availability", "sku", "gtin", "brand")) | {"has_image": False, "has_review_or_rating": False}
 
     def offers(value) -> None:
         for o in [value] if isinstance(value, dict) else value if isinstance(value, list) else []:

@@ -58,11 +58,11 @@ titled AS (SELECT title, lower(regexp_replace(CASE WHEN regexp_matches(title, '
 site AS (SELECT CASE WHEN n >= {t.LEAST_SITE_PAGES} AND n * 2 > (SELECT count(*) FROM titled) THEN name END AS site_name FROM (SELECT name, count(*) AS n FROM titled WHERE name IS NOT NULL GROUP BY 1 ORDER BY n DESC, name LIMIT 1)),
 target AS (SELECT nurl AS t_url, arg_max(indexable, row_id) AS t_indexable, arg_max(redirect, row_id) AS t_redirect, arg_max(coalesce(status, -1), row_id) AS t_status, arg_max(document, row_id) AS t_document, arg_max(canonicalised, row_id) AS t_canonicalised FROM k GROUP BY 1),
 hop AS (SELECT nurl AS node, nullif(arg_max(coalesce({norm("redirect_url")}, ''), row_id), '') AS dest FROM k GROUP BY 1),
-walk AS (SELECT node AS origin, dest AS at, 1 AS n FROM hop WHERE dest IS NOT NULL UNION ALL SELECT w.origin, h.dest, w.n + 1 FROM walk w JOIN hop h ON h.node = w.at WHERE h.dest IS NOT NULL AND w.n < 40),
+walk AS (SELECT node AS origin, dest AS at FROM hop WHERE dest IS NOT NULL UNION SELECT w.origin, h.dest FROM walk w JOIN hop h ON h.node = w.at WHERE h.dest IS NOT NULL),
 stop AS (SELECT w.origin, t.t_status AS end_status FROM walk w JOIN target t ON t.t_url = w.at WHERE NOT t.t_redirect),
 rawhop AS (SELECT url AS node, arg_max(redirect_url, row_id) AS dest FROM k WHERE redirect_url IS NOT NULL GROUP BY 1),
-rawwalk AS (SELECT node AS origin, dest AS at, 1 AS n FROM rawhop UNION ALL SELECT w.origin, h.dest, w.n + 1 FROM rawwalk w JOIN rawhop h ON h.node = w.at WHERE w.n < 40),
-looped AS (SELECT DISTINCT origin FROM rawwalk WHERE n = 40),
+rawwalk AS (SELECT node AS origin, dest AS at FROM rawhop UNION SELECT w.origin, h.dest FROM rawwalk w JOIN rawhop h ON h.node = w.at),
+looped AS (SELECT DISTINCT w.origin FROM rawwalk w WHERE w.at IN (SELECT x.origin FROM rawwalk x WHERE x.origin = x.at)),
 res AS (SELECT url AS src, arg_max(size_bytes, row_id) AS res_size, arg_max(coalesce(status, -1), row_id) AS res_status FROM k WHERE is_resource GROUP BY 1),
 pic AS (SELECT row_id, bool_or(res_size > {f.LARGE_IMAGE}) AS large_image, bool_or(res_status >= 400) AS broken_image FROM (SELECT row_id, unnest(images).src AS src FROM k) JOIN res USING (src) GROUP BY 1),
 st AS (SELECT url AS dst, arg_max(status, row_id) AS st FROM k WHERE status IS NOT NULL GROUP BY 1),
@@ -157,7 +157,7 @@ def directories() -> str:
   count(*) FILTER (indexability = 'Non-Indexable') AS dir_non_indexable, CAST(greatest(length(dir_path) - length(replace(dir_path, '/', '')) - 1, 0) AS INTEGER) AS dir_depth FROM (SELECT *, {folder} AS dir_path FROM e WHERE is_internal AND is_page AND NOT is_resource) GROUP BY dir_path"""
 
 
-def overview() -> str:
+def overview(pages_only: bool = False) -> str:
     from crawlmill.plans import rules
 
     doc = "(eligible AND is_internal AND (status IS NOT NULL OR redirect_url IS NOT NULL))"
@@ -172,6 +172,9 @@ def overview() -> str:
     ]
     pictures = {"ImageOver100Kb": f"image_size > {f.LARGE_IMAGE}", "ImageBroken": "image_status >= 400", "MissingAltText": "no_text", "MissingAltAttribute": "no_alt", "MissingSizeAttributes": "no_size"}
     parts = []
+    if pages_only:
+        conditions = {k: f"{populations[r.population]} AND ({built[k]})" if not r.view else f"({VIEWS[r.view][0]}) AND {condition(r.view, r.filter)}" for k, r in enumerate(rules.RULES) if r.view != "Images"}
+        return crawl() + " UNION ALL ".join(f"SELECT row_id, {k + 1} AS rule_no FROM e WHERE {cond}" for k, cond in conditions.items())
     for k, r in enumerate(rules.RULES):
         if r.view == "Images":
             n, of = f"(SELECT count(*) FROM im WHERE {pictures[r.filter]})", "(SELECT count(*) FROM im)"
@@ -343,3 +346,76 @@ def view(name: str, columns: list[str]) -> str:
         source = "(SELECT *, unnest(CASE WHEN len(a11y_issues) > 0 THEN a11y_issues ELSE [NULL] END) AS issue FROM e)"
         made += [f"issue.{k} AS a11y_{k}" for k in ("rule", "impact", "target", "html")]
     return crawl() + f"SELECT row_id, {', '.join(made)} FROM {source} WHERE {VIEWS[name][0]}"
+
+
+def rule_pages() -> str:
+    return overview(pages_only=True)
+
+
+def backlinks() -> str:
+    return f"WITH d AS ({select(Dialect(True))}), x AS (SELECT url, unnest(outlinks) AS l FROM d) SELECT url AS source_url, l.anchor AS anchor, l.rel AS rel FROM x WHERE l.dst_url = (SELECT url FROM d WHERE row_id = 50)"
+
+
+def outlink_details() -> str:
+    return f"""WITH d AS ({select(Dialect(True))}), x AS (SELECT row_id, unnest(outlinks) AS l, generate_subscripts(outlinks, 1) AS pos FROM d),
+s AS (SELECT url, arg_max(status, row_id) AS status FROM d WHERE status IS NOT NULL GROUP BY 1)
+SELECT row_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY CASE WHEN status >= 400 THEN 'a' WHEN status >= 300 THEN 'b' ELSE 'c' END, pos) AS INTEGER) AS place, l.dst_url AS dst_url, l.anchor AS anchor, l.rel AS rel, status FROM x LEFT JOIN s ON s.url = l.dst_url"""
+
+
+def image_references() -> str:
+    return f"WITH d AS ({select(Dialect(True))}), x AS (SELECT url, unnest(images) AS i FROM d) SELECT url AS page_url, i.alt AS alt, i.has_alt_attr AS has_alt_attr FROM x WHERE i.src = 'https://img.example/logo.png'"
+
+
+TIMES = """SELECT page_id, CASE WHEN a < 60 THEN 'just now' WHEN a < 3600 THEN CAST(a // 60 AS VARCHAR) || 'm ago' WHEN a < 86400 THEN CAST(a // 3600 AS VARCHAR) || 'h ago' WHEN a < 604800 THEN CAST(a // 86400 AS VARCHAR) || 'd ago' ELSE strftime(make_timestamp((1700000000 - a) * 1000000), '%b %-d') END AS age,
+  CASE WHEN page_id % 9 = 8 THEN NULL WHEN page_id % 4 = 2 AND starts_with(url, 'https://') THEN lower(string_split(url, '/')[3]) || ':8443' ELSE lower(string_split(url, '/')[3]) END AS host FROM (SELECT *, page_id * 7919 % 900000 AS a FROM pages)"""
+PROBES = """SELECT 'https://img.example/' || CAST(page_id AS VARCHAR) || '.png' AS url, 'image' AS kind, CASE WHEN k = 4 THEN 404 ELSE 200 END AS status,
+  CASE WHEN k = 5 THEN 'image/png' WHEN k IN (0, 1, 2, 6) THEN 'image/webp' ELSE 'image/gif' END AS content_type, CAST(CASE WHEN k IN (0, 1, 2, 6) THEN 8388608 WHEN k = 4 THEN 0 ELSE 10 + k END AS BIGINT) AS size_bytes, CAST(NULL AS VARCHAR) AS error FROM (SELECT *, page_id % 12 AS k FROM pages)"""
+FETCHES = "SELECT '/asset/' || CAST(user_id % 50 AS VARCHAR) AS url, count(*) AS network_fetches, count(*) FILTER (event_id % 5 = 0) AS revalidated_fetches FROM events WHERE event_id % 7 <> 0 AND event_id % 3 <> 0 GROUP BY 1"
+GATED = """SELECT page_id, moved = 0 AND site AND kind <> 0 AND page_id % 5 <> 0 AND page_id % 13 NOT IN (3, 4) AS analysed, CASE WHEN moved = 1 THEN 'https://www.site.example/' || CAST(page_id AS VARCHAR) || '/moved' WHEN moved = 2 THEN 'https://www.site.example/' || CAST(page_id AS VARCHAR) || '#top' END AS redirect_url,
+  CASE WHEN moved > 0 THEN CASE WHEN page_id % 5 = 0 THEN 302 ELSE 301 END END AS redirect_status, CASE WHEN moved > 0 THEN NULL WHEN kind = 0 THEN 'application/pdf' WHEN kind = 1 THEN 'TEXT/HTML; charset=x' WHEN kind = 2 THEN 'application/xhtml+xml' ELSE 'text/html' END AS content_type,
+  moved = 0 AND site AND kind <> 0 AND page_id % 5 > 1 AND page_id % 13 IN (3, 4) AS empty_document, moved = 0 AND site AND kind <> 0 AND page_id % 5 <> 0 AND page_id % 13 NOT IN (3, 4) AS has_html
+FROM (SELECT *, page_id % 6 AS kind, page_id % 11 <> 4 AS site, CASE WHEN page_id % 7 = 0 THEN 1 WHEN page_id % 7 = 2 AND page_id % 11 = 4 THEN 2 ELSE 0 END AS moved FROM pages)"""
+MERGED = """SELECT page_id, array_to_string(list_filter(['l0', 'l1', 'l2', 'l3'], lambda x: list_contains(h, x) OR list_contains(p, x) OR list_contains(s, x)), ' ') AS langs0,
+  array_to_string(list_concat(h, list_concat(list_filter(p, lambda x: NOT list_contains(h, x)), list_filter(s, lambda x: NOT list_contains(h, x) AND NOT list_contains(p, x)))), ' ') AS langs,
+  array_to_string(list_filter([CASE WHEN len(h) > 0 THEN 'HTML' END, CASE WHEN len(list_filter(p, lambda x: NOT list_contains(h, x))) > 0 THEN 'HTTP' END, CASE WHEN len(list_filter(s, lambda x: NOT list_contains(h, x) AND NOT list_contains(p, x))) > 0 THEN 'Sitemap' END], lambda x: x IS NOT NULL), ' ') AS sources
+FROM (SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN (['l0', 'l1', 'l2'])[1:page_id % 3 + 1] ELSE [] END AS h, CASE WHEN page_id % 5 <> 0 THEN (['l1', 'l2', 'l3'])[1:(page_id + 1) % 3 + 1] ELSE [] END AS p, CASE WHEN page_id % 7 <> 0 THEN (['l0', 'l1', 'l2'])[1:(page_id + 2) % 3 + 1] ELSE [] END AS s FROM pages)"""
+MERGED = f"SELECT * EXCLUDE (langs0) FROM ({MERGED})"
+SITEMAPS = """SELECT trim(url) || '/' || CAST(page_id AS VARCHAR) AS loc, CASE WHEN page_id % 3 = 0 THEN '2024-01-0' || CAST(page_id % 9 + 1 AS VARCHAR) END AS lastmod, 's' || CAST(page_id % 5 AS VARCHAR) AS sitemap, row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id) - 1 AS pos FROM pages WHERE page_id % 5 < 4"""
+
+
+def known_urls() -> str:
+    return f"""WITH d AS (SELECT row_id, url FROM ({select(Dialect(True))})),
+s AS (SELECT DISTINCT CASE WHEN row_id % 9 = 0 THEN url || '/lost' ELSE url END AS url FROM d WHERE row_id % 9 < 3),
+b AS (SELECT DISTINCT CASE WHEN row_id % 18 = 0 THEN url || '/lost' WHEN row_id % 24 = 0 THEN url || '/shut' ELSE url END AS url FROM d WHERE row_id % 12 = 0)
+SELECT row_id, url, CAST(NULL AS BOOLEAN) AS in_sitemap, CASE WHEN url IN (SELECT url FROM b) THEN true END AS blocked_by_robots FROM d
+UNION ALL SELECT NULL, url, true, CASE WHEN url IN (SELECT url FROM b) THEN true END FROM s WHERE url NOT IN (SELECT url FROM d)
+UNION ALL SELECT NULL, url, NULL, true FROM b WHERE url NOT IN (SELECT url FROM d) AND url NOT IN (SELECT url FROM s)"""
+
+
+def depth_filters() -> str:
+    return f"SELECT dir_path, dir_depth <= 1 AS DepthShallow, dir_depth IN (2, 3) AS DepthMedium, dir_depth > 3 AS DepthDeep FROM ({directories()})"
+
+
+def overview_filters() -> str:
+    parts = [f"sum(count) FILTER (issue_type = '{v}') AS IssueType{k}" for k, v in (("Error", "Issue"), ("Opportunity", "Opportunity"), ("Warning", "Warning"))] + [f"sum(count) FILTER (priority = '{k}') AS Priority{k}" for k in ("High", "Medium", "Low")]
+    return f"SELECT {', '.join(f'CAST({x[: x.index(' AS ')]} AS BIGINT){x[x.index(' AS '):]}' for x in parts)} FROM ({overview()})"
+
+
+def change_filters() -> str:
+    by_layout = "(SELECT url FROM d WHERE row_id % 4 = 1)"
+    body = changes().replace("SELECT * FROM j WHERE change_kind <> 'Changed' OR change_detail <> ''", f"SELECT count(*) FILTER (change_kind = 'Added') AS ChangeAdded, count(*) FILTER (change_kind = 'Removed') AS ChangeRemoved, count(*) FILTER (change_kind = 'Changed' AND (change_detail <> '' OR change_url IN {by_layout})) AS ChangeChanged, count(*) FILTER (change_kind = 'Changed' AND change_url IN {by_layout}) AS ChangeLayout FROM j")
+    return body
+
+
+def layouts() -> str:
+    return f"""WITH d AS (SELECT url, row_id, layout FROM ({select(Dialect(True))}) WHERE layout IS NOT NULL), t AS (SELECT layout.template AS t, layout.assignment AS a, CASE WHEN row_id % 3 = 1 THEN CASE WHEN row_id % 2 = 0 THEN 'Added 1' ELSE 'Moved 2' END END AS s FROM d),
+m AS (SELECT t, s, row_number() OVER (PARTITION BY t ORDER BY count(*) DESC, s) AS r FROM t WHERE s IS NOT NULL GROUP BY t, s),
+o AS (SELECT t AS layout_template, count(*) AS layout_pages, count(*) FILTER (a = 'layout_without_markup') AS layout_missing_markup, count(s) AS layout_changed FROM t GROUP BY t)
+SELECT o.*, m.s AS layout_common_change, layout_missing_markup > 0 AS LayoutMissingMarkup, layout_changed > 0 AS LayoutChanged FROM o LEFT JOIN m ON m.t = layout_template AND m.r = 1"""
+
+
+CATALOG = """SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS root_url, CAST(epoch(o_orderdate) AS BIGINT) AS started_at, CASE WHEN o_orderstatus = 'F' THEN 1 WHEN o_orderkey % 2 = 0 THEN CAST(epoch(o_orderdate) AS BIGINT) + o_orderkey % 100 ELSE CAST(epoch(o_orderdate) AS BIGINT) END AS finished_at, o_orderstatus <> 'F' AS aborted FROM orders WHERE o_orderkey <> 1"""
+
+
+def running_inlinks() -> str:
+    return f"WITH d AS ({select(Dialect(True))}), {_outlinks()} SELECT dst AS url, count(*) AS inlinks, count(*) FILTER (csr) AS csr_inlinks, count(DISTINCT src) AS unique_inlinks FROM ln GROUP BY dst"

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from crawlmill.functions import predicates as p
 from crawlmill.operators import filters
-from crawlmill.operators.graph import cut
 from crawlmill.plans import views
 
 c = F.col
@@ -134,26 +133,32 @@ _FILTERED = [
 RULES = [Rule(n, k, pr, pop, condition=f) for n, k, pr, pop, f in _BUILT] + [Rule(n, k, pr, pop, None, *vf.split(".")) for n, k, pr, vf, pop in _FILTERED]
 
 
-def _with_document_counts(pages: DataFrame) -> DataFrame:
-    for field in ("title", "meta_description", "h1"):
-        n = f"_doc_{field}"
-        counts = pages.where(POPULATIONS["documents"]() & ~p.blank(c(field))).groupBy(c(field).alias("_v")).agg(F.count("*").alias(n)).where(c(n) > 1)
-        pages = pages.join(counts, c(field) == c("_v"), "left").drop("_v")
-    return pages
+def _document_counts(pages: DataFrame) -> list[DataFrame]:
+    return [filters.repeated(pages, field, POPULATIONS["documents"](), f"_doc_{field}") for field in ("title", "meta_description", "h1")]
+
+
+def _enriched(pages: DataFrame) -> DataFrame:
+    return filters.enrich(pages, {f"{r.view}.{r.filter}" for r in RULES if r.view and r.view != "Images"}, _document_counts)
+
+
+def _holds(rule: Rule) -> Column:
+    if rule.condition is not None:
+        return POPULATIONS[rule.population]() & p.yes(rule.condition())
+    return p.yes(views.VIEWS[rule.view].base()) & filters.FILTERS[rule.view][rule.filter].column()
+
+
+def marked(pages: DataFrame) -> DataFrame:
+    """row_id, rule_no: each page with each rule about pages that it breaks, in one pass. What a rule counts are its rows here."""
+    some = F.array(*(F.when(_holds(r), F.lit(k + 1)) for k, r in enumerate(RULES) if r.view != "Images"))
+    return _enriched(pages).select("row_id", F.explode(F.array_compact(some)).alias("rule_no"))
 
 
 def overview(pages: DataFrame) -> DataFrame:
     """rule_no, issue_name, issue_type, priority, count, population, pct (of the population, 2 decimals): a row for each of the 79 rules."""
-    pages = cut(filters.with_facts(pages))  # a dozen branches read the facts
     by_page = [r for r in RULES if r.view != "Images"]
-    enriched = _with_document_counts(filters.enrich(pages, {f"{r.view}.{r.filter}" for r in by_page if r.view}))
+    enriched = _enriched(pages)
     # the conditions become columns, a bit each, before they are added up: one narrow pass instead of one vast expression
-    marks = []
-    for r in by_page:
-        if r.condition is not None:
-            marks.append(POPULATIONS[r.population]() & p.yes(r.condition()))
-        else:
-            marks.append(p.yes(views.VIEWS[r.view].base()) & filters.FILTERS[r.view][r.filter].column())
+    marks = [_holds(r) for r in by_page]
     sums = enriched.select(*(m.cast("int").alias(f"m{k}") for k, m in enumerate(marks)), *(f().cast("int").alias(f"p_{k}") for k, f in POPULATIONS.items())).agg(
         *(F.coalesce(F.sum(f"m{k}"), F.lit(0)).alias(f"m{k}") for k in range(len(marks))), *(F.coalesce(F.sum(f"p_{k}"), F.lit(0)).alias(f"p_{k}") for k in POPULATIONS)
     )
@@ -174,6 +179,17 @@ def overview(pages: DataFrame) -> DataFrame:
     return rows.withColumn("pct", F.round(F.lit(100.0) * c("count") / c("population"), 2))
 
 
+def pages_of(pages: DataFrame, rule_name: str) -> DataFrame:
+    """The rows behind a rule's count: page rows, or for rules about images rows of the image view."""
+    rule = next(r for r in RULES if r.name == rule_name)
+    if rule.view == "Images":
+        return views.view(pages, "Images", rule.filter)
+    if rule.view:
+        return views.rows(pages, rule.view, rule.filter).select(*pages.columns)
+    enriched = filters.enrich(pages, set(), _document_counts)
+    return enriched.where(POPULATIONS[rule.population]() & p.yes(rule.condition())).select(*pages.columns)
+
+
 def _image_flags(pages: DataFrame) -> DataFrame:
     some = filters.with_facts(pages).where(p.yes(views.VIEWS["Images"].base()))
     each = some.select(F.explode("images").alias("i")).where(~F.lower(F.ltrim(c("i.src"))).startswith("data:"))
@@ -199,7 +215,7 @@ def compared(now: DataFrame, then: DataFrame) -> DataFrame:
 def badges(pages: DataFrame) -> DataFrame:
     """view_name, total, errors, warnings: rows of each page view, those that an error filter selects, and those that only warnings do."""
     names = list(filters.PAGE_VIEWS)
-    enriched = filters.enrich(cut(filters.with_facts(pages)))
+    enriched = filters.enrich(pages)
     masks = []
     for v in names:
         inside = p.yes(views.VIEWS[v].base())

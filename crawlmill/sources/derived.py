@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlmill.operators.graph import cut
+from crawlmill.operators.graph import stored
 
 
 class Dialect:
@@ -101,10 +101,16 @@ SELECT CAST(id AS BIGINT) AS row_id, url, status,
 FROM p1"""
 
 
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived page records of a folder's pages table, stored once as a finished crawl is."""
-    spark.read.parquet(f"{sf_dir}/pages.parquet").createOrReplaceTempView("derived_pages_source")
-    return cut(spark.sql(select(Dialect(False), "derived_pages_source")))
+    """The derived page records of a folder's pages table. They are stored once an application, as a finished crawl is, and then read from Parquet."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        spark.read.parquet(f"{sf_dir}/pages.parquet").createOrReplaceTempView("derived_pages_source")
+        _stored[key] = stored(spark.sql(select(Dialect(False), "derived_pages_source")), "crawl")
+    return _stored[key]
 
 
 def before(pages: DataFrame) -> DataFrame:

@@ -84,3 +84,13 @@ def in_sitemap(pages: DataFrame, of: DataFrame) -> DataFrame:
 def orphans(pages: DataFrame, of: DataFrame) -> DataFrame:
     """Sitemap URLs that no page row has, by raw URL."""
     return of.select(F.col("loc").alias("url")).distinct().join(pages.select("url"), "url", "left_anti")
+
+
+def known_urls(pages: DataFrame, of: DataFrame, blocked: DataFrame) -> DataFrame:
+    """pages with rows for what a crawl knows of and didn't fetch: sitemap URLs without a row, then URLs that robots.txt blocks (a column url).
+
+    A blocked URL that has a row of either kind is marked there and gets no second one."""
+    base = pages.drop("blocked_by_robots").join(blocked.select("url", F.lit(True).alias("blocked_by_robots")).distinct(), "url", "left")
+    alone = orphans(pages, of).join(blocked.select("url", F.lit(True).alias("blocked_by_robots")).distinct(), "url", "left").withColumn("in_sitemap", F.lit(True))
+    rest = blocked.select("url").distinct().join(pages.select("url"), "url", "left_anti").join(alone.select("url"), "url", "left_anti").withColumn("blocked_by_robots", F.lit(True))
+    return base.unionByName(alone, allowMissingColumns=True).unionByName(rest, allowMissingColumns=True)

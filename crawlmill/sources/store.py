@@ -35,8 +35,10 @@ def updated(pages: DataFrame, new: DataFrame, key: str = "url") -> DataFrame:
 
 
 def write_csv(rows: DataFrame, folder: str) -> None:
-    """A view as CSV parts with a header of upper-case names, quotes doubled; nested values as JSON."""
+    """A view as CSV parts, each with a byte-order mark, a header of upper-case names, and quotes doubled; nested values as JSON."""
+    names = [n.upper() for n in rows.columns]
     flat = rows.select(*(F.to_json(c(f"`{n}`")).alias(n.upper()) if k.startswith(("array", "struct", "map")) else F.coalesce(c(f"`{n}`").cast("string"), F.lit("")).alias(n.upper()) for n, k in rows.dtypes))
+    flat = flat.withColumnRenamed(names[0], BOM + names[0])
     flat.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(folder)
 
 
@@ -99,6 +101,73 @@ def load_counts(spark: SparkSession, folder: str, crawl_id: int) -> DataFrame:
     return spark.read.parquet(f"{folder}/counts/crawl={crawl_id}").where(c("version") == COUNTS_VERSION)
 
 
+def started(crawls: DataFrame, root_url: str, now: int, config_json: str = "{}") -> DataFrame:
+    """The catalog with one more crawl, whose id follows the greatest."""
+    spark = crawls.sparkSession
+    number = crawls.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]  # one number
+    new = spark.createDataFrame([(number, root_url, now, None, config_json, False)], "id long, root_url string, started_at long, finished_at long, config_json string, aborted boolean")
+    return crawls.unionByName(new, allowMissingColumns=True)
+
+
+def closed(crawls: DataFrame, crawl_id: int, counts: DataFrame, finished_at: int, aborted: bool = False) -> DataFrame:
+    """The catalog with a crawl at its end, and with what row_counts() of it says."""
+    own = c("id") == crawl_id
+    names = ("rows", "pages", "unfetched")
+    joined = crawls.drop(*(f"{n}_count" for n in names)).crossJoin(F.broadcast(counts.select(*(c(n).alias(f"_{n}") for n in names))))  # one row
+    old = {n: c(f"_old_{n}") if f"{n}_count" in crawls.columns else F.lit(None).cast("long") for n in names}
+    if any(f"{n}_count" in crawls.columns for n in names):
+        joined = joined.join(crawls.select("id", *(c(f"{n}_count").alias(f"_old_{n}") for n in names if f"{n}_count" in crawls.columns)), "id")
+    told = joined.withColumns({"finished_at": F.when(own, F.lit(finished_at)).otherwise(c("finished_at")), "aborted": F.when(own, F.lit(aborted)).otherwise(c("aborted")), **{f"{n}_count": F.when(own, c(f"_{n}")).otherwise(old[n]) for n in names}})
+    return told.drop(*(f"_{n}" for n in names), *(f"_old_{n}" for n in names))
+
+
+def aborted(crawls: DataFrame, last_times: DataFrame) -> DataFrame:
+    """The catalog with all unfinished crawls ended as aborted, at the time of their last page or else of their start. last_times: id, last_crawled_at."""
+    joined = crawls.join(last_times, "id", "left")
+    open_ = c("finished_at").isNull()
+    return joined.withColumns({"aborted": open_ | F.coalesce("aborted", F.lit(False)), "finished_at": F.when(open_, F.coalesce("last_crawled_at", "started_at")).otherwise(c("finished_at"))}).drop("last_crawled_at")
+
+
+def without(crawls: DataFrame, crawl_id: int) -> DataFrame:
+    """The catalog without a crawl; its folder goes by delete_crawl()."""
+    return crawls.where(c("id") != crawl_id)
+
+
+def delete_crawl(spark: SparkSession, folder: str) -> bool:
+    """Deletes a crawl's folder through Spark's file systems; whether there was one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def counts_of_crawls(counts: DataFrame, crawls: DataFrame) -> DataFrame:
+    """Stored counts with their crawls' root and start, of crawls that the catalog holds."""
+    return counts.join(crawls.select(c("id").alias("crawl_id"), "root_url", "started_at"), "crawl_id")
+
+
+def save_sitemap(entries: DataFrame, folder: str) -> None:
+    """The sitemap's URLs as a table, each once a sitemap."""
+    entries.dropDuplicates(["sitemap", "loc"]).write.mode("overwrite").parquet(f"{folder}/sitemap_urls")
+
+
+def side_table(rows: DataFrame, key: str = "url", order: str = "id", name: str = "rows") -> DataFrame:
+    """key and all rows of a side table with it, as an array in order. A key's rows are a page's own: links, images, issues."""
+    fields = [n for n in rows.columns if n != key]
+    each = F.sort_array(F.collect_list(F.struct(order, *(n for n in fields if n != order))))
+    return rows.groupBy(key).agg(each.alias(name))
+
+
+def export_views(pages: DataFrame, folder: str, changes: DataFrame | None = None) -> list[str]:
+    """Every view as CSV in a folder of its own, and the overview; changes only if there is a crawl to compare with. The names written."""
+    from crawlmill.plans import rules, views
+
+    tables = {name: views.view(pages, name) for name in [*views.VIEWS, "SiteStructure"]} | {"Overview": rules.ordered(rules.overview(pages))}
+    if changes is not None:
+        tables["Changes"] = changes
+    for name, rows in tables.items():
+        write_csv(rows, f"{folder}/{name}")
+    return list(tables)
+
+
 def planned_checks(pages: DataFrame, most: int = 10_000) -> DataFrame:
     """url, kind: sources of images and other resources that have no row yet, the first kind of each, at most `most` in order of first appearance."""
     images = pages.select("row_id", F.explode(F.transform("images", lambda i: F.struct(i["src"].alias("url"), F.lit("image").alias("kind")))).alias("x"))

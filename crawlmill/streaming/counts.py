@@ -48,6 +48,25 @@ def current_counts(spark: SparkSession, out: str) -> DataFrame:
     return own.unionByName(filter_counts(spark.read.parquet(f"{out}/pages").drop("batch"), cross=True))
 
 
+def running_inlinks(stream: DataFrame) -> DataFrame:
+    """url, inlinks, csr_inlinks, unique_inlinks of what has been crawled so far: lower bounds that grow. Streaming or not.
+
+    Sources are counted by hash sketch on a stream, whose state would else hold every link; exactly on a table."""
+    each = stream.select(F.col("url").alias("src"), F.explode("outlinks").alias("x"))
+    sources = F.approx_count_distinct("src", 0.01) if stream.isStreaming else F.count_distinct("src")
+    return each.groupBy(F.col("x.dst_url").alias("url")).agg(F.count("*").alias("inlinks"), F.count_if(F.coalesce("x.csr_only", F.lit(False))).alias("csr_inlinks"), sources.alias("unique_inlinks"))
+
+
+def reloaded(spark: SparkSession, out: str) -> DataFrame:
+    """The rows of a finished stream as they were stored, each URL once, with what passes over all of them add: inlinks, depths are the caller's."""
+    from crawlmill.operators import graph
+
+    pages = spark.read.parquet(f"{out}/pages").drop("batch").dropDuplicates(["url"])
+    counted = graph.inlinks(graph.links(pages)).select("url", *(F.col(a).cast("int").alias(b) for a, b in (("inlinks", "inlinks_count"), ("unique_inlinks", "unique_inlinks_count"), ("csr_inlinks", "csr_inlinks_count"), ("unique_csr_inlinks", "unique_csr_inlinks_count"))))
+    names = [n for n in counted.columns if n != "url"]
+    return pages.drop(*names).join(counted, "url", "left").fillna(0, names).withColumn("inlinks_complete", F.lit(True))
+
+
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums of events by type in tumbling windows; on a stream, rows over `late` behind are left out."""
     timed = events.withWatermark("ts", late) if events.isStreaming else events
