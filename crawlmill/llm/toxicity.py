@@ -8,7 +8,7 @@ reading. Words without such signs have one path, themselves, and skip the search
 The restored text is scored by a lexicon and a logistic regression: terms (restored words and their beginnings) with their log-odds among
 labelled documents, then three features of a document: its strongest term, its sum of strong terms, and their share of its words.
 
-Bounds: the labels learned from are at most LABELLED rows, those whose mixed id comes first; the lexicon has LEXICON terms at most.
+Bounds: the labels learned from are at most LABELLED rows, those whose mixed id comes first; the lexicon holds all strong terms of these rows.
 
 Defined results: null and empty texts have no terms and get the score of a document without any; without both classes to learn from every
 score is 0; repeated labels of one document count once, toxic if one of them says so; null ids and null labels are not learned from.
@@ -29,7 +29,6 @@ from crawlmill.llm import langid
 from crawlmill.llm.common import begin, bounded_batches, pieces, written
 
 LABELLED = 20_000
-LEXICON = 20_000
 LEAST_SEEN = 3
 LEAST_ODDS = float(np.log(6))
 STEMS = (4, 5, 6, 7)
@@ -37,8 +36,8 @@ STEMS = (4, 5, 6, 7)
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
 #: Costs in nats of what the channel does to a character.
 LOOK_COST, REPEAT_COST, DROP_COST, BREAK_COST = 1.0, 0.5, 1.0, 3.0
-_EDGE = re.compile(r"^[^\w@$!|+€£]+|[^\w@$|+€£]+$|^([^\w])\1{2,}|([^\w])\2{2,}$")
-_LEET = re.compile(r"[^\W\d_].*[0-9@$!|+€£]|[0-9@$!|+€£].*[^\W\d_]", re.S)
+_LETTER = re.compile(r"[^\W\d_]")
+_SIGN = re.compile(r"[0-9@$!|+€£]")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _RUN = re.compile(r"(?:^|\s)[^\s|](?:\s+[^\s|]){2,}(?:\s|$)")
 _SPACED = re.compile(r"^[^\W_](?:[.\-_*~][^\W_]){2,}$")
@@ -59,8 +58,8 @@ def letter_model(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(c[found], pa.int64())], ["gram", "n"])
 
     c = np.zeros(langid.GRAMS)
-    for r in docs.select("text").mapInArrow(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
-        c[r["gram"]] = r["n"]
+    sums = docs.select("text").mapInArrow(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    c[sums.column("gram").to_numpy()] = sums.column("n").to_numpy()
     c = c.reshape((langid.SYMBOLS,) * 3)
     two, one = c.sum(axis=0), c.sum(axis=(0, 1))
     p1 = (one + 0.5) / (one + 0.5).sum()
@@ -102,6 +101,36 @@ def decode(noisy: str, model: np.ndarray) -> str:
     return "".join(reversed(letters)).strip()
 
 
+def _inner(c: str, signs: str) -> bool:
+    return c.isalnum() or c == "_" or c in signs
+
+
+def core_of(word: str) -> str:
+    """A word without the signs around it that stand for no letter, or without one sign three times or more; "!" may begin a word, not end it."""
+    i, j = 0, len(word)
+    while i < j and not _inner(word[i], "@$!|+€£"):
+        i += 1
+    if not i:
+        i = _same(word, range(j))
+    while j > i and not _inner(word[j - 1], "@$|+€£"):
+        j -= 1
+    if j == len(word):
+        j -= _same(word, range(j - 1, i - 1, -1))
+    return word[i:j]
+
+
+def _same(word: str, places: range) -> int:
+    """How many of the places, from the first on, hold one and the same sign; 0 for fewer than three."""
+    if not places or word[places[0]].isalnum() or word[places[0]] == "_":
+        return 0
+    n = 0
+    for k in places:
+        if word[k] != word[places[0]]:
+            break
+        n += 1
+    return n if n > 2 else 0
+
+
 class Restorer:
     """Restores words; remembers those it has seen."""
 
@@ -110,12 +139,10 @@ class Restorer:
 
     def word(self, word: str) -> str:
         """The plain words that a case-folded word without white space stands for."""
-        core = _EDGE.sub("", word)
+        core = core_of(word)
         if core.isalpha() and not _TRIPLE.search(core):
             return core
-        if _SPACED.match(core) or _LEET.search(core):
-            return decode(core, self.model)
-        if _TRIPLE.search(core):
+        if _SPACED.match(core) or _TRIPLE.search(core) or _LETTER.search(core) and _SIGN.search(core):
             return decode(core, self.model)
         return " ".join(re.findall(r"[^\W\d_]+", core))
 
@@ -251,7 +278,8 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, l
     odds = F.log((F.col("toxic") + 0.5) / (sizes[True] + 1.0)) - F.log((F.col("clean") + 0.5) / (sizes[False] + 1.0))
     found = sample.mapInArrow(counted, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     strong = found.where(F.col("toxic") >= LEAST_SEEN).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    lexicon = {r["term"]: float(r["odds"]) for r in strong.orderBy(F.desc(F.col("odds") * F.log("toxic")), "term").limit(LEXICON).collect()}
+    strong = strong.select("term", "odds").toArrow()  # of terms in LEAST_SEEN toxic rows of the sample
+    lexicon = dict(sorted(zip(strong.column("term").to_pylist(), strong.column("odds").to_pylist())))
     scorer = Scorer(model, lexicon, np.zeros(0))
     held = docs.sparkSession.sparkContext.broadcast(scorer)
 
@@ -261,7 +289,8 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, l
             rows = np.array([held.value.features(t) for t in batch.column("text").to_pylist()]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column("labelled_id"), batch.column("label"), *(pa.array(rows[:, k]) for k in range(3))], ["labelled_id", "label", "a", "b", "c"])
 
-    rows = sorted(tuple(r) for r in sample.mapInArrow(featured, "labelled_id long, label int, a double, b double, c double").toLocalIterator())
+    rows = sample.mapInArrow(featured, "labelled_id long, label int, a double, b double, c double").toArrow()  # five numbers of a labelled row
+    rows = sorted(zip(*(c.to_pylist() for c in rows.columns)))
     x = np.array([r[2:] for r in rows])
     return Scorer(model, lexicon, fit_logistic(x, np.array([float(r[1] > 0) for r in rows])))
 
@@ -269,7 +298,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, l
 def scored(docs: DataFrame, scorer: Scorer, held_out: Column | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # LEXICON terms and SYMBOLS^3 numbers
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # terms of LABELLED rows and SYMBOLS^3 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("toxicity", _current.clear)
