@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,12 +45,23 @@ class Filter:
 
     def column(self) -> Column:
         """The condition with its gates, never NULL. For a DataFrame from enrich()."""
-        whole = p.yes(self.condition())
-        if self.content:
-            whole = whole & c("_eligible")
-        if self.shape:
-            whole = whole & ~urls.is_not_a_page_url(c("url"), c("is_resource"))
-        return whole
+        return _column(self)
+
+
+@cache
+def _column(f: Filter) -> Column:
+    """Made once a process: columns name what they read and belong to no table, and a condition takes hundreds of calls to the JVM."""
+    whole = p.yes(f.condition())
+    if f.content:
+        whole = whole & c("_eligible")
+    if f.shape:
+        whole = whole & ~urls.is_not_a_page_url(c("url"), c("is_resource"))
+    return whole
+
+
+@cache
+def _fact(name: str) -> Column:
+    return FACTS[name]()
 
 
 def _field(name: str, what: str) -> Filter:
@@ -284,13 +295,20 @@ FILTERS: dict[str, dict[str, Filter]] = {
 PAGE_VIEWS = [v for v in FILTERS if v not in ("SiteStructure", "Overview", "Changes", "Layout")]
 
 
-def repeated(pages: DataFrame, value: str, eligible: Column, name: str) -> DataFrame:
-    """row_id, name: how many eligible pages share the row's value, for rows whose value two of them share at least.
+#: By name: a column of values, and which pages count.
+Repeats = dict[str, tuple[str, Callable[[], Column]]]
+
+
+def repeated(pages: DataFrame, of: Repeats) -> DataFrame:
+    """row_id and by name how many counted pages share the row's value, for rows whose value two of them share at least.
 
-    Only values are counted, and partial counts come before the shuffle. A value that very many pages share is split by Spark as any skewed join."""
-    some = pages.where(~p.blank(c(value)))
-    counts = some.where(eligible).groupBy(c(value).alias("_v")).agg(F.count("*").alias(name)).where(c(name) > 1)
-    return some.select("row_id", c(value).alias("_v")).join(counts, "_v").select("row_id", name)
+    All values go through one table of (name, value): one count, with partial counts before the shuffle, and one join. A value that very many
+    pages share is split by Spark as any skewed join."""
+    values = F.array(*(F.struct(F.lit(k).alias("k"), c(value).alias("v"), p.yes(counted()).alias("counted")) for k, (value, counted) in enumerate(of.values())))
+    each = pages.select("row_id", F.explode(values).alias("x")).select("row_id", "x.k", "x.v", "x.counted").where(~p.blank(c("v")))
+    counts = each.where("counted").groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
+    met = each.select("row_id", "k", "v").join(counts, ["k", "v"])
+    return met.groupBy("row_id").agg(*(F.max(F.when(c("k") == k, c("n"))).alias(name) for k, name in enumerate(of)))
 
 
 def gathered(pages: DataFrame, narrow: list[DataFrame]) -> DataFrame:
@@ -315,17 +333,16 @@ def with_facts(pages: DataFrame) -> DataFrame:
     """pages with the facts of FACTS, and with _indexable and _eligible, which follow from them; pages that have them stay as they are."""
     if "_eligible" in pages.columns:
         return pages
-    known = pages.withColumns({k: f() for k, f in FACTS.items()})
+    known = pages.withColumns({k: _fact(k) for k in FACTS})
     good = p.yes(c("status").between(200, 299)) & ~c("_redirect") & ~c("_noindex") & ~c("_canonicalised")
     return known.withColumns({"_indexable": good, "_eligible": c("_document") & ~c("_noindex") & ~c("_canonicalised")})
 
 
-def lookups(pages: DataFrame, wanted: Callable[..., bool]) -> list[DataFrame]:
+def lookups(pages: DataFrame, wanted: Callable[..., bool], more: Repeats) -> list[DataFrame]:
     """What wanted filters read of other pages, each as a narrow table of row_id and facts."""
-    out: list[DataFrame] = []
-    for view, field in (*FIELDS.items(), ("Content", "content_hash")):
-        if wanted(f"{view}.ExactDuplicates" if view == "Content" else f"{view}.Duplicate"):
-            out.append(repeated(pages, field, c("_eligible"), f"_n_{field}"))
+    fields = {f"{view}.Duplicate": field for view, field in FIELDS.items()} | {"Content.ExactDuplicates": "content_hash"}
+    of: Repeats = {f"_n_{field}": (field, lambda: c("_eligible")) for name, field in fields.items() if wanted(name)} | more
+    out = [repeated(pages, of)] if of else []
     key = urls.normalized_or_trimmed
     if wanted("Canonicals.CanonicalTargetNotIndexable", "Canonicals.CanonicalToRedirect", "Canonicals.CanonicalToError", "Canonicals.CanonicalChain"):
         facts = F.struct(c("_indexable").alias("indexable"), c("_redirect").alias("redirect"), c("status").alias("status"), c("_document").alias("document"), c("_canonicalised").alias("canonicalised"))
@@ -346,11 +363,11 @@ def lookups(pages: DataFrame, wanted: Callable[..., bool]) -> list[DataFrame]:
     return out
 
 
-def enrich(pages: DataFrame, needs: set[str] | None = None, more: Callable[[DataFrame], list[DataFrame]] = lambda pages: []) -> DataFrame:
-    """pages with what the filters named in needs (of "View.Filter"; None: all) read of other pages. more: further narrow tables, of pages with facts."""
+def enrich(pages: DataFrame, needs: set[str] | None = None, more: Repeats | None = None) -> DataFrame:
+    """pages with what the filters named in needs (of "View.Filter"; None: all) read of other pages. more: further values to count."""
     wanted = lambda *names: needs is None or any(n in needs for n in names)
     pages = with_facts(pages)
-    out = gathered(pages, lookups(pages, wanted) + more(pages))
+    out = gathered(pages, lookups(pages, wanted, more or {}))
     if wanted("PageTitles.RepeatsSiteName"):
         out = out.crossJoin(F.broadcast(site_name(pages)))  # one row
     return out

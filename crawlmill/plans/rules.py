@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,14 +134,14 @@ _FILTERED = [
 RULES = [Rule(n, k, pr, pop, condition=f) for n, k, pr, pop, f in _BUILT] + [Rule(n, k, pr, pop, None, *vf.split(".")) for n, k, pr, vf, pop in _FILTERED]
 
 
-def _document_counts(pages: DataFrame) -> list[DataFrame]:
-    return [filters.repeated(pages, field, POPULATIONS["documents"](), f"_doc_{field}") for field in ("title", "meta_description", "h1")]
+_DOCUMENT_COUNTS: filters.Repeats = {f"_doc_{field}": (field, POPULATIONS["documents"]) for field in ("title", "meta_description", "h1")}
 
 
 def _enriched(pages: DataFrame) -> DataFrame:
-    return filters.enrich(pages, {f"{r.view}.{r.filter}" for r in RULES if r.view and r.view != "Images"}, _document_counts)
+    return filters.enrich(pages, {f"{r.view}.{r.filter}" for r in RULES if r.view and r.view != "Images"}, _DOCUMENT_COUNTS)
 
 
+@cache
 def _holds(rule: Rule) -> Column:
     if rule.condition is not None:
         return POPULATIONS[rule.population]() & p.yes(rule.condition())
@@ -186,7 +187,7 @@ def pages_of(pages: DataFrame, rule_name: str) -> DataFrame:
         return views.view(pages, "Images", rule.filter)
     if rule.view:
         return views.rows(pages, rule.view, rule.filter).select(*pages.columns)
-    enriched = filters.enrich(pages, set(), _document_counts)
+    enriched = filters.enrich(pages, set(), _DOCUMENT_COUNTS)
     return enriched.where(POPULATIONS[rule.population]() & p.yes(rule.condition())).select(*pages.columns)
 
 
