@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches handed to Python stop growing at this many bytes, so that a run of very long texts stays small in memory.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 BATCH_ROWS = 4000
 
 
@@ -22,9 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bounds the Arrow batches of this session by rows and by bytes; smaller bounds that are set already stay. Plans read them when they run,
+    so they are left set."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -73,23 +73,28 @@ def char_histogram(text: bytes) -> np.ndarray:
     return np.bincount(CLASS_TABLE[np.frombuffer(text, np.uint8)], minlength=CLASSES + 1)[:CLASSES]
 
 
-_POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(64)]
+_BASE = 0x9E3779B97F4A7C15
 
 
 def repeated_words(words: list[bytes], window: int = 8) -> int:
-    """How many of the words lie in a window that occurs twice or more."""
+    """How many of the words lie in a window that occurs twice or more. Windows that look alike by a sum of 64 bits are compared word by word."""
     n = len(words) - window + 1
     if n < 2:
         return 0
     ids = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
-    key = ids[:n] * _POWERS[0]
-    for k in range(1, window):
-        key += ids[k : n + k] * _POWERS[k]
+    key = np.zeros(n, np.uint64)
+    for k in range(window):
+        key += ids[k : n + k] * np.uint64(pow(_BASE, k + 1, 1 << 64))
     order = np.sort(key)
     twice = order[1:][order[1:] == order[:-1]]
     if not len(twice):
         return 0
-    starts = np.isin(key, twice)
+    seen: dict[tuple, int] = {}
+    starts = np.zeros(n, np.int32)
+    for i in np.flatnonzero(np.isin(key, twice)).tolist():
+        first = seen.setdefault(tuple(words[i : i + window]), i)
+        if first != i:
+            starts[[first, i]] = 1
     edge = np.zeros(len(words) + 1, np.int32)
     edge[:n] += starts
     edge[window : window + n] -= starts

@@ -8,8 +8,9 @@ variants a fingerprint instead of 131.) A pair meets in up to 44 variants: only
 
 Components come from label propagation with shortcuts over the links between distinct fingerprints, each round written to the shared folder.
 
-Defined results: null and empty texts have fingerprint zero and are linked like any other; rows with one doc_id take its smallest
-component; a null doc_id is a row with a null doc_id, and its component is the smallest doc_id that isn't null, if there is one.
+Defined results: null and empty texts have fingerprint zero and are linked like any other; a row's component is that of its own text, so rows
+with one doc_id and unlike texts may have several; a null doc_id is a row with a null doc_id, and its component is the smallest doc_id that
+isn't null, if there is one.
 """
 
 from __future__ import annotations
@@ -88,14 +89,14 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return found.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable, for the nodes of the edges (a, b).
 
     Each round gives a node the smallest root around it, then that root's own new root (a shortcut), so rounds grow as the logarithm of a
-    chain's length in the usual case."""
+    chain's length in the usual case. Rounds go on until no root gets smaller, which ends: there are as many roots as nodes at most."""
     both = written(edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to"))), "edges")
     at = both.groupBy("node").agg(F.min("to").alias("near")).select("node", F.least("node", "near").alias("root"))
-    for _ in range(most_rounds):
+    while True:
         at = written(at, "roots")
         around = both.join(at.select(F.col("node").alias("to"), "root"), "to").groupBy("node").agg(F.min("root").alias("near"))
         step = written(at.join(around, "node").select("node", "root", F.least("root", "near").alias("next")), "steps")
@@ -103,7 +104,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not step.where(F.col("next") != F.col("root")).limit(1).count():
             return at
         at = step.join(owner, "next").select("node", F.col("jump").alias("root"))
-    raise RuntimeError("components did not settle")
 
 
 def hexed(fp: Column) -> Column:
