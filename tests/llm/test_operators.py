@@ -78,6 +78,54 @@ def test_quality_distance():
     assert quality.js_distance(np.zeros(2), np.array([1, 2])) == 1
 
 
+def test_quality_against_plain(docs):
+    """Every column of every row, from histograms kept as plain counts."""
+    from collections import Counter
+
+    limits = quality.Limits()
+    kind = lambda c: quality._class_of(c.encode()[0])
+    plain_words = lambda t: "".join(c.lower() if c.isascii() and c.isalpha() else " " if c.isascii() else c for c in t).encode().split()
+    chars, common = {}, {}
+    for k, (_, t) in enumerate(TEXTS):
+        if t and k % 3:
+            chars.setdefault("en", Counter()).update(map(kind, t))
+            common.setdefault("en", Counter()).update(plain_words(t))
+    ref = dict(sorted(common["en"].items(), key=lambda x: (-x[1], x[0]))[: limits.common_words])
+
+    def distance(p, q):
+        if not sum(p.values()) or not sum(q.values()):
+            return 0.0 if sum(p.values()) == sum(q.values()) else 1.0
+        p, q = ({k: v / sum(x.values()) for k, v in x.items()} for x in (p, q))
+        total = 0.0
+        for x, y in ((p, q), (q, p)):
+            total += sum(v * np.log2(2 * v / (v + y.get(k, 0))) for k, v in x.items() if v)
+        return float(np.sqrt(max(0.0, total / 2)))
+
+    expected = {}
+    for i, t in TEXTS:
+        w, n = split(t), len(split(t))
+        failed = n < 20 or 100 * plain_repeats(w) > 30 * n
+        near = distance(Counter(map(kind, t or "")), chars["en"]), distance({k: v for k, v in Counter(plain_words(t or "")).items() if k in ref}, ref)
+        slack = max(1, n) ** -0.5
+        odd = n >= limits.min_words and near[0] > limits.max_char_distance + limits.char_slack * slack or n >= limits.min_common_words and near[1] > limits.max_word_distance + limits.word_slack * slack
+        expected.setdefault((i, t), (not (failed or odd), *near))
+    out = quality.judge(docs).collect()
+    assert len(out) == len(TEXTS)
+    by_id = {}
+    for (i, _), x in expected.items():
+        by_id.setdefault(i, []).append(x)
+    for r in out:
+        assert any(r["kept"] == x[0] and (r["char_distance"], r["word_distance"]) == pytest.approx(x[1:], abs=1e-6) for x in by_id[r["doc_id"]]), r
+
+
+def test_repeats_are_compared_word_by_word(monkeypatch):
+    w = words(500, 3, 12).encode().split()
+    expected = [plain_repeats(w, n) for n in (1, 2, 8, 90)]
+    assert [quality.repeated_words(w, n) for n in (1, 2, 8, 90)] == expected
+    monkeypatch.setattr(quality, "_BASE", 0)  # all windows look alike
+    assert [quality.repeated_words(w, n) for n in (1, 2, 8, 90)] == expected
+
+
 def test_quality_judges_by_divergence(spark):
     plain = [(i, words(200, i, 150)) for i in range(40)]
     odd = [(100, "#% $& *| " * 5 + words(150, 7, 150).upper())]
@@ -104,6 +152,53 @@ def test_media_formats():
             media.decode(bad)
 
 
+def test_media_refuses_what_it_cannot_hold():
+    huge = media.struct.pack("<2sIHHI", b"BM", 99, 0, 0, 54) + media.struct.pack("<IiiHHIIiiII", 40, 2**31 - 1, -(2**31), 1, 24, 0, 0, 0, 0, 0, 0)
+    palette = media.struct.pack("<2sIHHI", b"BM", 99, 0, 0, 54) + media.struct.pack("<IiiHHIIiiII", 40, 1, 1, 1, 8, 0, 0, 0, 0, 2**31, 0) + b"\0" * 8
+    for bad in (b"P5 99999999999 99999999999 255\n", b"P2 1 1 255 " + b"9" * 23, b"P2 1 1 255 -1", b"P2 1 1 15 16", b"P5 1 1 15 \xff", b"P1 2 1 1 7", b"P4 99999999 9 \n", b"P2 1 1 255 x", b"P5 " + b"1" * 5000, huge, palette):
+        with pytest.raises(ValueError):
+            media.decode(bad)
+
+
+def test_media_is_kept_and_read_back(docs, monkeypatch):
+    """The stored table holds images that decode to the padded texts; tiles and hashes follow from area means in fractions."""
+    from fractions import Fraction
+
+    def mean(a, h, w):
+        high, wide = a.shape
+        out = np.zeros((h, w))
+        for y, x in itertools.product(range(h), range(w)):
+            total = Fraction(0)
+            for i in range(high * y // h, -(-high * (y + 1) // h)):
+                tall = min(Fraction(i + 1), Fraction(high * (y + 1), h)) - max(Fraction(i), Fraction(high * y, h))
+                for j in range(wide * x // w, -(-wide * (x + 1) // w)):
+                    total += tall * (min(Fraction(j + 1), Fraction(wide * (x + 1), w)) - max(Fraction(j), Fraction(wide * x, w))) * int(a[i, j])
+            out[y, x] = float(total * h * w / (high * wide))
+        return out
+
+    stored = media.kept(docs)
+    texts_of = {}
+    for i, t in TEXTS:
+        texts_of.setdefault(i, set()).add((t or "").encode())
+    out = {r["media_sha256"]: r for r in media.featured(stored, tiles=True).collect()}
+    some = stored.collect()
+    assert len(some) == len(TEXTS)
+    for r in some:
+        a = media.decode(bytes(r["media"]))
+        assert a.tobytes()[: r["n_bytes"]] in texts_of[r["doc_id"]]
+        f = out[hashlib.sha256(bytes(r["media"])).hexdigest()]
+        grey = a if a.ndim == 2 else np.array([[sum(int(v) * k for v, k in zip(p, (299, 587, 114))) // 1000 for p in row] for row in a], np.uint8)
+        t = np.load(io.BytesIO(bytes(f["tile"])))
+        assert t.shape == (32, 32) and hashlib.sha256(bytes(f["tile"])).hexdigest() == f["tile_sha256"]
+        if len(grey) < 12:
+            small = np.round(mean(grey, 8, 9), 6)
+            assert f["feature"] == np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
+            assert np.abs(t - mean(grey, 32, 32)).max() <= 0.5 + 1e-6
+    monkeypatch.setattr(media, "BLOCK", 100)
+    a = np.random.default_rng(1).integers(0, 256, (77, 64), dtype=np.uint8)
+    assert np.allclose(media.area_resize(a, 8, 9), mean(a, 8, 9))
+
+
 def test_area_resize_is_a_mean():
     a = np.arange(12.0).reshape(3, 4)
     assert np.allclose(media.area_resize(a, 1, 1), a.mean()) and np.allclose(media.area_resize(a, 3, 4), a)
@@ -150,6 +245,14 @@ def test_nbest_is_exhaustive(text):
     assert all(of.decode(np.frombuffer(b, "<u4")) == text for _, b in best)
 
 
+def test_words_looked_at_together():
+    of, r = nbest.Lattice(public_tokenizers.path("piece_bpe_32k.model")), random.Random(5)
+    some = sorted({"".join(r.choice("aeinrstÉé漢9,.$") for _ in range(r.randrange(1, 45))) for _ in range(4000)})
+    of.prepare([" ".join(some)])
+    assert len(of.spaced) > 300
+    assert all(of.spaced[w] == of._of(nbest.SPACE + w) for w in of.spaced)
+
+
 def test_nbest_query(docs):
     out = nbest.segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), 3)
     assert not out.where("not decodes").count()
@@ -185,6 +288,39 @@ def test_packing(docs):
     assert by_length == sorted(by_length, reverse=True)
 
 
+def test_words_are_encoded_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    tok, signs = Tokenizer.from_file(path), "ab'sSt.!$%<>|é É1٣ \u0301\u0307Iİßäﬁ漢カ゛\u200b-_\n\t日本'llredve’K"
+    some = ["".join(r.choice(signs) for _ in range(r.randrange(1, 40))) for _ in range(3000)] + [words(3000, 8), "x" * 5000, "-" * 5000]
+    encode = packing.encoder(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode([t.encode() for t in some])] == [tok.encode(t, add_special_tokens=False).ids for t in some]
+    assert encode([]) == [] and encode([b"", b" "]) == [b"", b""]
+
+
+def test_a_full_memory_starts_anew(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    some = [words(200, k, 10_000).encode() for k in range(9)]
+    first = packing.encoder(path)(some)
+    monkeypatch.setattr(packing, "MEMORY", 10_000)
+    monkeypatch.setattr(packing, "_held", {})
+    monkeypatch.setattr(packing.Words.__init__, "__defaults__", (10_000,))
+    assert [packing.encoder(path)([t])[0] for t in some] == first
+
+
+def test_pieces_keep_their_places(spark, docs):
+    """However the written pieces are split when they are read."""
+    path, seen = public_tokenizers.path("word_bpe_49k.json"), []
+    for size in ("128m", "1k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        out = packing.pack(docs, path, capacity=64).collect()
+        assert sorted(r["sequence_id"] for r in out) == list(range(len(out)))
+        seen.append(sorted((r["length"], r["ids_crc32"]) for r in out))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1]
+
+
 def test_packing_keeps_added_tokens():
     from tokenizers import Tokenizer
 
@@ -246,6 +382,30 @@ def test_anchors_follow_windows():
                 assert seen.setdefault(names[i : i + 13].tobytes(), k) == k
 
 
+def test_words_are_named_by_their_bytes():
+    import pyarrow as pa
+
+    r = random.Random(1)
+    some = [bytes(r.choice(b"abcxyz01") for _ in range(r.randrange(1, 30))) for _ in range(20_000)] + [b"a" * k for k in range(1, 700)] + ["é漢".encode() * k for k in range(1, 40)]
+    held = [b" ".join(some[i : i + 97]) + r.choice([b"", b"\n", b"  "]) for i in range(0, len(some), 97)] + [b"", None, b"   ", b"q"]
+    with np.errstate(over="ignore"):
+        names, at = recompress.batch_names(pa.array(held, pa.binary()).slice(3))
+    flat = [w for t in held[3:] for w in (t or b"").split()]
+    known = {}
+    assert len(flat) == len(names) and all(known.setdefault(w, n) == n for w, n in zip(flat, names.tolist()))
+    assert len(set(known.values())) == len(known) and 0 not in known.values()
+    assert np.diff(at).tolist() == [len((t or b"").split()) for t in held[3:]]
+
+
+def test_cut_texts_keeps_any_columns(spark, docs):
+    names = ["__doc", "__th", "__spans", "row", "spans", "doc", "th"]
+    more = docs.selectExpr("doc_id", "text", "n_chars", *(f"concat(source, '{k}') as {n}" for k, n in enumerate(names)))
+    out = recompress.cut_texts(more)
+    assert out.columns == more.columns and out.count() == len(TEXTS)
+    assert all(r[n] == f"s{k}" for r in out.collect() for k, n in enumerate(names))
+    assert got(out, "doc_id", "text", "n_chars") == got(recompress.cut_texts(docs), "doc_id", "text", "n_chars")
+
+
 def test_cut_texts(docs):
     out = recompress.cut_texts(docs)
     assert out.schema == docs.schema and out.count() == len(TEXTS)
@@ -276,14 +436,68 @@ def test_url_rules(spark):
 
 def test_url_model_separates():
     good, bad = [f"http://site.example/news/{i}" for i in range(50)], [f"http://pills.example/buy?id={i}" for i in range(50)]
-    ratio = urlmodel.Ratio(urlmodel.Markov(good[:40]), urlmodel.Markov(bad[:40]), 0.0)
+    ratio = urlmodel.Ratio(urlmodel.Markov.of(good[:40]), urlmodel.Markov.of(bad[:40]), 0.0)
     assert min(map(ratio.score, good[40:])) > max(map(ratio.score, bad[40:]))
-    m = urlmodel.Markov(["ab", "aa"])
+    m = urlmodel.Markov.of(["ab", "aa"])
     seen = {c for x in m.after.values() for c in x}
     assert len(seen) == 3 and sum(np.exp(m.log_likelihood(c) - 0) for c in ("ab", "aa")) < 1
     assert urlmodel.best_limit([1, 2, 3, 4], [False, False, True, True]) == pytest.approx(2.5)
 
 
+def test_url_verdicts_against_plain(spark):
+    """Both models, the limit and every verdict, from all URLs that rules decide, in one process."""
+    import xxhash
+
+    r = random.Random(6)
+    urls = []
+    for k in range(300):
+        good = k % 2
+        rest = "/".join(r.choice(["news", "story", "help"] if good else ["pills", "bet", "win"]) + str(r.randrange(40)) for _ in range(2))
+        urls.append(f"https://a{r.randrange(9)}." + r.choice(["org/" if good else "com/de/", "net/"]) + rest)
+    urls += [None, "", "no scheme", "http://x.net/" + "y" * 20_000, urls[0], urls[1], "http://é.net/ü"]
+    df = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)], "page_id long, url string, ruled string").repartition(3)
+    out = {x["page_id"]: x for x in urlmodel.judge(df).collect()}
+    decided = {v: sorted({urls[k] for k, x in out.items() if x["rule"] and x["verdict"] == v}) for v in ("allow", "block")}
+    h = lambda u: xxhash.xxh64_intdigest(u.encode(), 42)
+    held = lambda u: (h(u) - (h(u) >> 63 << 64)) % 4 == 0
+    model = {}
+    for v, some in decided.items():
+        after = model[v] = {}
+        for u in (u for u in some if not held(u)):
+            p = "\x02" * 5 + u + "\x03"
+            for i in range(5, len(p)):
+                for k in range(6):
+                    c = after.setdefault(p[i - k : i], {})
+                    c[p[i]] = c.get(p[i], 0) + 1
+
+    def likelihood(after, u):
+        p, total = "\x02" * 5 + u + "\x03", 0.0
+        for i in range(5, len(p)):
+            x = 1 / 256
+            for k in range(6):
+                if p[i - k : i] not in after:
+                    break
+                c = after[p[i - k : i]]
+                x = (c.get(p[i], 0) + len(c) * x) / (sum(c.values()) + len(c))
+            total += np.log(x)
+        return total
+
+    score = lambda u: (likelihood(model["allow"], u) - likelihood(model["block"], u)) / (len(u) + 1)
+    limit = urlmodel.best_limit(*map(list, zip(*[(score(u), v == "allow") for v in decided for u in decided[v] if held(u)])))
+    for k, u in enumerate(urls):
+        if out[k]["rule"] is None:
+            assert out[k]["ratio"] == pytest.approx(score(u or ""), abs=1e-9)
+            assert out[k]["verdict"] == ("allow" if score(u or "") > limit else "block")
+    right = [out[k]["verdict"] == ("allow" if k % 2 else "block") for k in range(300) if out[k]["rule"] is None]
+    assert sum(right) > 0.95 * len(right)
+
+
+def test_a_full_url_model_takes_the_most_frequent(spark):
+    df = spark.createDataFrame([("ab",), ("ab2",), ("ab3",)], "url string")
+    assert urlmodel.counts(df, 3) == {"a": 3, "b": 3, "\x03": 3}
+    assert sum(urlmodel.counts(df).values()) == 6 * (3 + 4 + 4)
+
+
 # 7
 
 
@@ -297,6 +511,35 @@ def test_language_vectors_are_bundles():
     assert float(langid.similarity(text, of)[0]) == pytest.approx(float(v.sum() / 16 / np.linalg.norm(v)), abs=1e-5)
 
 
+def test_languages_against_plain(spark, docs):
+    """Every prediction and score, bundling the vectors of all n-grams one after another."""
+    letters = langid.letter_vectors().astype(float)
+
+    def bundle(t):
+        s, v = langid.symbols(t), np.zeros(langid.DIMENSIONS)
+        for g, n in {tuple(g): None for g in zip(s, s[1:], s[2:])}.items():
+            n = sum(1 for x in zip(s, s[1:], s[2:]) if x == g) if len(s) < 400 else None
+            v += 0 if n is None else n * np.roll(letters[g[0]], 2) * np.roll(letters[g[1]], 1) * letters[g[2]]
+        return v, max(0, len(s) - 2)
+
+    some = [(i, t, "ab"[k % 2] if k % 5 else None) for k, (i, t) in enumerate(TEXTS) if not t or len(t) < 390] + [(50 + k, words(30, k) + " éü", "ab"[k % 2]) for k in range(6)]
+    df = spark.createDataFrame(some, "doc_id long, text string, lang string").repartition(2)
+    sums = {}
+    for _, t, lang in some:
+        if t and lang and bundle(t)[1]:
+            v, n = bundle(t)
+            sums[lang] = sums.get(lang, 0) + v * round(1e9 / n)
+    expected = []
+    for i, t, _ in some:
+        v, n = bundle(t or "")
+        cosines = {lang: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for lang, p in sorted(sums.items())} if n else {}
+        best = max(cosines, key=cosines.get, default="und")
+        expected.append((i, best, round(max(0.0, cosines.get(best, 0.0)), 3)))
+    out = [(r["doc_id"], r["lang_pred"], round(r["score"], 3)) for r in langid.predict(df, langid.learn(df)).collect()]
+    close = lambda a, b: a[:2] == b[:2] and abs(a[2] - b[2]) < 0.0021
+    assert len(out) == len(some) and all(close(a, b) for a, b in zip(sorted(out, key=str), sorted(expected, key=str)))
+
+
 def test_languages(spark, docs, empty):
     syllables = {"a": ["ba", "lo", "mi"], "b": ["kr", "zu", "th"], "c": ["éa", "ñu", "ße"]}
     r = random.Random(1)
@@ -343,17 +586,41 @@ def test_restores_long_runs():
 def test_decode_is_the_best_path():
     model = plain_model()
 
-    def cost(noisy):  # every choice for every character
+    def cost(noisy):  # every choice for every character, added up on its own
         best = {}
-        for choice in itertools.product(*([(c, 0.0)] * c.isalpha() + [(x, toxicity.LOOK_COST) for x in toxicity.LOOKS.get(c, "")] + [("", toxicity.REPEAT_COST)] * (i > 0 and noisy[i - 1] == c) for i, c in enumerate(noisy))):
-            s = [0, 0, *(int(langid.symbols(x)[1]) for x, _ in choice if x), 0]
-            total = sum(e for _, e in choice) - sum(float(model[s[k], s[k + 1], s[k + 2]]) for k in range(len(s) - 2))
-            said = "".join(x for x, _ in choice)
-            best[said] = min(total, best.get(said, 1e9))
+        for choice in itertools.product(*([((0, " ", toxicity.BREAK_COST) if not c.isalpha() else (int(langid.symbols(c)[1]), c, 0.0))] + [(int(langid.symbols(x)[1]), x, toxicity.LOOK_COST) for x in toxicity.LOOKS.get(c, "")] + [(-1, "", toxicity.REPEAT_COST)] * (i > 0 and noisy[i - 1] == c) for i, c in enumerate(noisy))):
+            s, said, total = [0, 0], "", 0.0
+            for symbol, letter, extra in choice:
+                total += extra
+                if symbol > 0 or symbol == 0 and s[-1]:
+                    s.append(symbol)
+                    said += letter
+            s.append(0)
+            total -= sum(float(model[s[k], s[k + 1], s[k + 2]]) for k in range(len(s) - 2))
+            best[said.strip()] = min(total, best.get(said.strip(), 1e9))
         return min(best, key=best.get)
 
-    for noisy in ("1diiot", "m00n", "l0s3r", "1111"):
-        assert toxicity.decode(noisy, model).replace(" ", "") == cost(noisy) or noisy == "1111"
+    for noisy in ("1diiot", "m00n", "l0s3r", "1111", "4$$", "n1gh7", "b00"):
+        assert toxicity.decode(noisy, model) == cost(noisy)
+
+
+def test_cores_of_words():
+    import re
+
+    edge = re.compile(r"^[^\w@$!|+€£]+|[^\w@$|+€£]+$|^([^\w])\1{2,}|([^\w])\2{2,}$")
+    r = random.Random(7)
+    for _ in range(20_000):
+        w = "".join(r.choice("ab1_$!!..*-@é") for _ in range(r.randrange(0, 9)))
+        assert toxicity.core_of(w) == edge.sub("", w), w
+
+
+def test_very_long_words_take_linear_time():
+    import time
+
+    restorer, began = toxicity.Restorer(plain_model()), time.process_time()
+    for w in ("a" + "-" * 400_000 + "b", "-" * 400_000, "ab-" * 130_000, "!" * 400_000 + "a", "a" * 20_000, "x" * 20_000 + "!" * 400_000):
+        restorer.word(w)
+    assert time.process_time() - began < 30
 
 
 def test_toxicity(spark, docs, empty):
@@ -377,6 +644,44 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.clean(docs, none).count() == len(TEXTS) and toxicity.scored(empty, none).count() == 0
 
 
+def test_toxicity_against_plain(spark):
+    """Lexicon, weights and every score, counted anew in one process over texts as the operator restores them."""
+    from collections import Counter
+
+    r = random.Random(3)
+    table = [(k, " ".join(r.choices(["garn", "toln", "minn", "pesn", "latn"], k=20) + (["1di0t", "m.o.r.o.n"] if k % 3 == 0 else []))) for k in range(60)] + [(70, None), (71, ""), (72, "g 0 0 d  i d i o t"), (72, "idiot!! minn")]
+    labels = [(k, int(k % 3 == 0)) for k in range(60)] + [(0, 0), (72, 1), (None, 1), (3, None)]
+    df, lab = spark.createDataFrame(table, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
+    scorer = toxicity.learn(df, lab)
+    truth = {k: max(y for i, y in labels if i == k and y is not None) for k in {i for i, y in labels if i is not None and y is not None}}
+    restorer = toxicity.Restorer(scorer.model)
+    said = [(k, t, list(restorer.words(t or ""))) for k, t in table]
+    seen = {0: Counter(), 1: Counter()}
+    for k, _, w in said:
+        if k in truth:
+            seen[truth[k]].update({t for x in w for t in ["=" + x] + [x[:n] for n in (4, 5, 6, 7) if len(x) >= n]})
+    size = {y: sum(truth.get(k) == y for k, _ in table) for y in (0, 1)}
+    odds = {t: np.log((n + 0.5) / (size[1] + 1)) - np.log((seen[0][t] + 0.5) / (size[0] + 1)) for t, n in seen[1].items() if n >= 3}
+    odds = {t: v for t, v in odds.items() if v >= np.log(6)}
+    assert scorer.lexicon == pytest.approx(odds) and odds
+
+    def features(text, w):
+        value = [max([odds.get(t, 0.0) for t in ["=" + x] + [x[:n] for n in (4, 5, 6, 7) if len(x) >= n]]) for x in w]
+        if not (text or "").split():
+            return [0.0, 0.0, 0.0]
+        of = {}
+        if not toxicity._RUN.search(text):  # strengths by written word
+            value = [sum(max([odds.get(t, 0.0) for t in ["=" + x] + [x[:n] for n in (4, 5, 6, 7) if len(x) >= n]]) for x in of.setdefault(y, restorer.word(y).split())) for y in text.lower().split()]
+        return [max(value, default=0.0), np.log1p(sum(value)), np.log1p(100 * sum(value) / len(text.split()))]
+
+    x = {(k, t): features(t, w) for k, t, w in said}
+    weights = toxicity.fit_logistic(np.array([x[k, t] for k, t in table if k in truth]), np.array([float(truth[k]) for k, _ in table if k in truth]))
+    assert scorer.weights == pytest.approx(weights, rel=1e-4, abs=1e-4)
+    expected = sorted((k, round(float(1 / (1 + np.exp(-(weights @ [1.0, *x[k, t]])))), 4)) for k, t in table)
+    out = sorted((y["doc_id"], round(y["score"], 4)) for y in toxicity.scored(df, scorer).collect())
+    assert [k for k, _ in out] == [k for k, _ in expected] and [v for _, v in out] == pytest.approx([v for _, v in expected], abs=2e-3)
+
+
 # 9
 
 
@@ -497,9 +802,10 @@ def test_one_of_each_tells_rows(spark, docs):
 # 10
 
 
-@pytest.mark.parametrize("hot", [1, sharding.HOT])
-def test_sharding(docs, hot):
-    out = sharding.shards(docs, hot=hot).collect()
+@pytest.mark.parametrize("block", [3, sharding.BLOCK])
+def test_sharding(docs, block, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK", block)
+    out = sharding.shards(docs).collect()
     md5 = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:13], 16)
     best = lambda k, n: max(range(n), key=lambda s: (-1 / np.log((md5(f"{k}/{s}") + 0.5) / 2**52), -s))
     for r in out:
@@ -510,6 +816,15 @@ def test_sharding(docs, hot):
         assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
 
 
+def test_slots_depend_on_rows_alone(docs, monkeypatch):
+    many = docs.unionByName(docs.where("doc_id = 12")).unionByName(docs.where("doc_id = 12 or doc_id is null"))
+    plain = lambda df, **how: sorted(map(str, sharding.shards(df, **how).collect()))
+    first = plain(many)
+    assert plain(many.repartition(7, "lang")) == plain(many.coalesce(1)) == plain(many, parts=3) == first
+    monkeypatch.setattr(sharding, "BLOCK", 2)
+    assert plain(many) == first
+
+
 def test_weights(spark):
     df = spark.range(4000).selectExpr("id as doc_id", "'' as text")
     n = {r["shard"]: r["count"] for r in sharding.shards(df, [1.0, 3.0]).groupBy("shard").count().collect()}
