@@ -4,8 +4,8 @@ A new shard takes only the records on which its score beats the others', so no r
 logarithmic method: score = -weight / ln(u) with u uniform in (0, 1). DataFrame functions only.
 
 Defined results: a null text has size 1 and the checksum of no bytes; a null key is the key '' ; repeated rows go to one shard and take
-slots one after another. Slots follow a hash of key, checksum and size, then these three: they depend on nothing else, neither on the order
-of the rows nor on how they lie in files.
+slots one after another. Slots follow a hash of the key, then the key (null last), then checksum and size, of which SQL says nothing: they
+depend on nothing else, neither on the order of the rows nor on how they lie in files.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from crawlmill.llm.common import written
 
 SHARDS = 8
-#: Parts of a shard in which slots are counted apart, by ranges of the hash.
-PARTS = 256
 #: Repeated rows that are dealt out by one task at once.
 BLOCK = 1 << 16
 #: 13 hexadecimal digits of MD5: a whole number under 2^52, exact as a double.
@@ -40,22 +38,23 @@ def shard_of(key: Column, weights: list[float]) -> Column:
     return (-best["shard"]).cast("int")
 
 
-def shards(docs: DataFrame, weights: list[float] | None = None, parts: int = PARTS) -> DataFrame:
+def shards(docs: DataFrame, weights: list[float] | None = None, parts: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (with one more shard of weight 1).
 
     Rows alike in key, size and checksum are counted before they are shuffled and dealt out again at the end, so a key repeated without end
-    loads no task. The rest is spread over the parts of a shard by the hash that also orders it."""
+    loads no task. The rest is cut into ranges of the order that slots follow, down to checksum and size, so one key with many texts is cut
+    too; slots are counted within the rows of a shard in a range, behind those of the ranges before. parts: how many ranges (None: as many as Spark shuffles to)."""
     weights = weights or [1.0] * SHARDS
     text, doc = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
     slim = docs.select(doc.alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     alike = slim.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
-    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_crc32", "size")
-    alike = alike.withColumns({"h": hashed(key), "shard": shard_of(F.col("doc_id"), weights), "grown_shard": shard_of(F.col("doc_id"), [*weights, 1.0])})
-    alike = written(alike.withColumn("part", F.floor(F.col("h") * F.lit(parts) / F.lit(float(1 << 4 * DIGITS))).cast("int")), "shards")
+    by = ["h", F.col("doc_id").asc_nulls_last(), "text_crc32", "size"]
+    ranged = alike.withColumn("h", hashed(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).repartitionByRange(*([] if parts is None else [parts]), *by).withColumn("part", F.spark_partition_id())
+    alike = written(ranged.withColumns({"shard": shard_of(F.col("doc_id"), weights), "grown_shard": shard_of(F.col("doc_id"), [*weights, 1.0])}), "shards")
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = alike.groupBy("shard", "part").agg(F.sum("n").alias("n")).select("shard", "part", F.coalesce(before, F.lit(0)).alias("base"))
-    order = Window.partitionBy("shard", "part").orderBy("h", F.col("doc_id").asc_nulls_last(), "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = alike.withColumn("within", F.coalesce(F.sum("n").over(order), F.lit(0))).join(F.broadcast(base), ["shard", "part"])  # shards times parts rows
+    order = Window.partitionBy("shard", "part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    placed = alike.withColumn("within", F.coalesce(F.sum("n").over(order), F.lit(0))).join(F.broadcast(base), ["shard", "part"])  # shards times ranges rows
     placed = placed.withColumn("first", F.col("base") + F.col("within"))
     single, many = placed.where("n = 1"), placed.where("n > 1")
     blocks = many.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(BLOCK).cast("long"))).alias("block"))

@@ -825,6 +825,18 @@ def test_slots_depend_on_rows_alone(docs, monkeypatch):
     assert plain(many) == first
 
 
+@pytest.mark.parametrize("how", [{}, {"parts": 5}])
+def test_slots_follow_the_hash_of_the_key(spark, how):
+    """As the SQL does; a key of many texts is cut as well."""
+    df = spark.createDataFrame([(k, "x" * (k % 3)) for k in range(300)] + [(7, f"t{k}") for k in range(200)] + [(None, "a")], "doc_id long, text string")
+    out = sharding.shards(df, **how).collect()
+    assert len(out) == 501
+    for s in range(8):
+        own = sorted((r for r in out if r["shard"] == s), key=lambda r: r["slot"])
+        keys = [hashlib.md5(("" if r["doc_id"] is None else str(r["doc_id"])).encode()).hexdigest()[:13] for r in own]
+        assert keys == sorted(keys) and [r["slot"] for r in own] == list(range(len(own)))
+
+
 def test_weights(spark):
     df = spark.range(4000).selectExpr("id as doc_id", "'' as text")
     n = {r["shard"]: r["count"] for r in sharding.shards(df, [1.0, 3.0]).groupBy("shard").count().collect()}
