@@ -15,11 +15,11 @@ c = F.col
 def hops(pages: DataFrame) -> DataFrame:
     """node, to, status, redirect: one hop a URL, by its normalised form and, as "raw " and the URL, by its raw one; of several rows the last.
 
-    Both forms go through one table, so chains are followed once."""
+    By its raw form a URL hops to where the last of its rows that leads anywhere does. Both forms go through one table, so chains are followed once."""
     key = urls.normalized_or_trimmed
     raw = lambda u: F.concat(F.lit("raw "), u)
-    forms = F.array(*(F.struct(form(c("url")).alias("node"), form(c("redirect_url")).alias("to")) for form in (key, raw)))
-    each = pages.select("row_id", "status", p.is_redirect().alias("redirect"), F.explode(forms).alias("hop"))
+    forms = F.array(*(F.struct(form(c("url")).alias("node"), form(c("redirect_url")).alias("to"), F.lit(form is raw).alias("raw")) for form in (key, raw)))
+    each = pages.select("row_id", "status", p.is_redirect().alias("redirect"), F.explode(forms).alias("hop")).where(~c("hop.raw") | c("hop.to").isNotNull())
     return each.groupBy("hop.node").agg(F.max_by(F.struct("hop.to", "status", "redirect"), "row_id").alias("last")).select("node", "last.*")
 
 
@@ -45,7 +45,9 @@ def ways(pages: DataFrame) -> DataFrame:
     every = hops(pages)
     some = cut(every.where(c("to").isNotNull()).select("node", "to"))
     at = ends(some)
-    met = every.join(some.select(c("to").alias("node")).unionByName(at.select(c("at").alias("node"))).distinct(), "node", "left_semi")
+    # what rows lead to that aren't the last of their URL counts too
+    asked = pages.select(urls.normalized_or_trimmed(c("redirect_url")).alias("node")).where("node is not null")
+    met = every.join(asked.unionByName(at.select(c("at").alias("node"))).distinct(), "node", "left_semi")
     known = cut(met.select("node", "status", "redirect"))
     stop = at.join(known.where(~c("redirect")).select(c("node").alias("at"), c("status").alias("_end_status")), "at").select("node", "_end_status")
     loops = at.join(some.select(c("node").alias("at")), "at", "left_semi").where(c("node").startswith("raw ")).select(F.substr("node", F.lit(5)).alias("_url"), F.lit(True).alias("_in_loop"))

@@ -97,6 +97,15 @@ def test_redirects(spark):
     assert hit(pages, "ResponseCodes", "RedirectTemporary") == {"/b"}
 
 
+def test_redirects_of_urls_with_several_rows(spark):
+    """A row leads where it says, though a later row of its URL leads nowhere; loops go by the last row that leads anywhere."""
+    to = lambda a, b: {"url": a, "redirect_url": SITE + b, "status": 301}
+    pages = crawl(spark, to("/a", "/b"), {"url": "/a"}, to("/b", "/c"), {"url": "/c"}, to("/l1", "/l2"), {"url": "/l1"}, to("/l2", "/l1"))
+    got = {(r["row_id"]) for r in filters.where(pages, "ResponseCodes", "RedirectChain").collect()}
+    assert got == {0, 4}  # /l2 leads to a page by the last row of /l1
+    assert {r["row_id"] for r in filters.where(pages, "ResponseCodes", "RedirectLoop").collect()} == {4, 5, 6}
+
+
 def test_long_redirects_are_no_loops(spark):
     to = lambda a, b: {"url": a, "redirect_url": SITE + b, "status": 301}
     pages = crawl(spark, *(to(f"/n{k}", f"/n{k + 1}") for k in range(150)), {"url": "/n150", "status": 404}, *(to(f"/l{k}", f"/l{(k + 1) % 3}") for k in range(3)), *(to(f"/in{k}", f"/in{k + 1}" if k < 99 else "/l0") for k in range(100)))
