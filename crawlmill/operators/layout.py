@@ -228,10 +228,12 @@ def _by_shape(parts: DataFrame, own: DataFrame, left: DataFrame) -> DataFrame:
     return out.select("url", F.coalesce(name, F.lit("Other layouts")).alias("template_type"), F.when(name.isNotNull(), "shape").otherwise("other").alias("assignment"))
 
 
-def template_rows(assigned: DataFrame, changed: DataFrame | None = None) -> DataFrame:
-    """layout_template, layout_pages, layout_missing_markup, layout_changed, layout_common_change: a row a template, most pages first."""
+def template_rows(assigned: DataFrame, changed: DataFrame | None = None, by: str = "url") -> DataFrame:
+    """layout_template, layout_pages, layout_missing_markup, layout_changed, layout_common_change: a row a template, most pages first.
+
+    changed: summary of the pages that changed, told by the column `by` (URLs may repeat among pages, row ids don't); of several the first by text."""
     if changed is not None:
-        assigned = assigned.join(changed, "url", "left")
+        assigned = assigned.join(changed.groupBy(by).agg(F.min("summary").alias("summary")), by, "left")
     else:
         assigned = assigned.withColumn("summary", F.lit(None).cast("string"))
     modal = assigned.where("summary is not null").groupBy("template_type", "summary").agg(F.count("*").alias("n")).groupBy("template_type").agg(F.min_by("summary", F.struct(-c("n"), c("summary"))).alias("layout_common_change"))

@@ -182,8 +182,8 @@ def _change_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = crawl(spark, sf_dir).where("layout is not null")
-    changed = pages.where("row_id % 3 = 1").select("url", F.when(F.col("row_id") % 2 == 0, "Added 1").otherwise("Moved 2").alias("summary"))
-    rows = layout.template_rows(pages.select("url", F.col("layout.template").alias("template_type"), "layout.assignment"), changed)
+    changed = pages.where("row_id % 3 = 1").select("row_id", F.when(F.col("row_id") % 2 == 0, "Added 1").otherwise("Moved 2").alias("summary"))
+    rows = layout.template_rows(pages.select("row_id", F.col("layout.template").alias("template_type"), "layout.assignment"), changed, by="row_id")
     return rows.select("*", *(f.condition().alias(n) for n, f in filters.FILTERS["Layout"].items()))
 
 

@@ -30,6 +30,15 @@ def test_templates(spark):
     assert got["hidden"] == ("Product", "layout_without_markup") and got["odd"] == ("Layout 1", "shape") and got["p0"] == ("Product", "markup")
 
 
+def test_template_rows_of_urls_with_several_rows(spark):
+    """Pages are told by row where URLs repeat, and none is counted twice."""
+    pages = spark.createDataFrame([(1, "/a", "T"), (2, "/a", "U"), (3, "/b", "U")], "row_id long, url string, template_type string").selectExpr("*", "'markup' AS assignment")
+    changed = spark.createDataFrame([(1, "/a", "Moved 1"), (3, "/b", "Moved 1"), (3, "/b", "Added 1")], "row_id long, url string, summary string")
+    shown = lambda rows: {tuple(r[c] for c in ("layout_template", "layout_pages", "layout_changed", "layout_common_change")) for r in rows.collect()}
+    assert shown(layout.template_rows(pages.drop("url"), changed.drop("url"), by="row_id")) == {("T", 1, 1, "Moved 1"), ("U", 2, 1, "Added 1")}
+    assert shown(layout.template_rows(pages.drop("row_id"), changed.drop("row_id"))) == {("T", 1, 1, "Moved 1"), ("U", 2, 2, "Added 1")}
+
+
 def plain_templates(parts, types):
     """The same by loops over pages; parts: url to part to weight, without chrome."""
     def learn(urls, without=None):
