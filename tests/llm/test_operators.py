@@ -1,6 +1,7 @@
 """Each operator against a plain version of it, on rows with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import inspect
 import io
 import itertools
 import random
@@ -498,6 +499,16 @@ def test_a_full_url_model_takes_the_most_frequent(spark):
     assert sum(urlmodel.counts(df).values()) == 6 * (3 + 4 + 4)
 
 
+def test_url_limit_from_all_held_out(spark):
+    """The limit over ranges is that of one process, whatever ties and ends there are; learning takes no bound on rows or n-grams."""
+    r = random.Random(16)
+    for some in ([(r.randrange(400) / 64 + good / 2, good) for good in (True, False) for _ in range(700)], [(1.0, True), (1.0, False)], [(1.0, True), (0.0, False)], [(0.0, True), (1.0, False)], [(2.0, True)] * 3, [(2.0, False)]):
+        for n in (1, 5):
+            held = spark.createDataFrame(some, "ratio double, good boolean").repartition(n)
+            assert urlmodel.fitted_limit(held) == pytest.approx(urlmodel.best_limit(*map(list, zip(*some)))), some[:4]
+    assert {"most", "grams"}.isdisjoint(inspect.signature(urlmodel.learn).parameters)
+
+
 # 7
 
 
