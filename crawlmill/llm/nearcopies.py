@@ -1,6 +1,8 @@
 """Near copies of the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, found without loss.
 
-SimHash can't serve this rule: at a similarity of 0.8 fingerprints of 64 bits differ in about ten, up to twenty bits. So sets are joined by
+SimHash balls come first: fingerprints of the same shingles that differ in 3 bits or fewer meet in their balls (simhash.links), and what they
+link is verified on whole sets. Down to a similarity of 0.8 fingerprints of 64 bits differ in about ten, up to twenty bits, more than balls
+reach, so an exact check follows for what SimHash hasn't put in one group: sets are joined by
 prefixes. Shingles are put in one global order; if two sets are that similar, the first |A| - ceil(0.8 |A|) + 1 shingles of each share
 one at least. What meets there is cut by bounds that hold for every similar pair (sizes, shingles shared by the prefixes), and what remains
 is verified on whole sets. The order decides the cost only: shingles that are common in a sample come last, the most common at the very end.
@@ -8,7 +10,7 @@ is verified on whole sets. The order decides the cost only: shingles that are co
 Places in the prefixes bound it too: if a shingle is the first that two sets share in the global order, they share no more than what either has
 from there on. Every similar pair meets in its first shared shingle, so a meeting that the places rule out is left aside.
 
-Groups are what verified pairs connect. A group of many near copies doesn't cost its square: a first pass compares what meets in a shingle
+Groups are what verified pairs connect. A group of many near copies doesn't cost its square: a first pass of the check compares what meets in a shingle
 with one of it only, the one that has the shingle earliest (a text that others were made from has few shingles of its own before it); a second
 pass compares what isn't in one group yet.
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlmill.llm.common import begin, bounded_batches, discard, pieces, texts, written
-from crawlmill.llm.simhash import SEED, components
+from crawlmill.llm.simhash import SEED, bits, components, links
 
 SHINGLE = 5
 #: One document of so many is in the sample that tells common shingles, one so common in it is ordered last; at most so many are told.
@@ -96,7 +98,7 @@ def prefix(of: np.ndarray, which: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def prefixed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node, size, prefix: a row for each document."""
+    """doc_id, text_hash, node, size, fp (SimHash of the set), prefix: a row for each document."""
     bounded_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
@@ -104,10 +106,10 @@ def prefixed(docs: DataFrame) -> DataFrame:
         for batch in _small(batches):
             sets = [shingles(t) for t in texts(batch)]
             heads = _lists([prefix(s, *known.value) for s in sets])
-            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), heads]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "size", "prefix"])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bits(s) for s in sets], pa.int64()), heads]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "size", "fp", "prefix"])
 
-    return docs.select(c("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(cut, "doc_id long, text_hash long, node long, size int, prefix array<long>")
+    return docs.select(c("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(cut, "doc_id long, text_hash long, node long, size int, fp long, prefix array<long>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -172,12 +174,29 @@ def _pairs(met: DataFrame, a: str, b: str) -> DataFrame:
     return met.select(one(a, b, "node").alias("a"), one(b, a, "node").alias("b"), one(a, b, "size").alias("a_size"), one(b, a, "size").alias("b_size")).distinct()
 
 
+def by_simhash(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: similar nodes whose fingerprints differ in 3 bits or fewer. nodes: node, text_hash, size, fp, prefix.
+
+    Of several nodes with one fingerprint the first stands for it: the others are held against it, and it against those of fingerprints nearby."""
+    standing = written(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("of")).select("fp", c("of.node").alias("of_node"), c("of.size").alias("of_size")), "standing")
+    own = nodes.select("fp", "node", "size").join(standing, "fp").where(c("node") != c("of_node"))
+    near = written(links(standing.select("fp")), "balls")
+    ends = [standing.select(c("fp").alias(side), c("of_node").alias(f"{side}_node"), c("of_size").alias(f"{side}_size")) for side in "ab"]
+    met = _pairs(own, "of_", "").unionByName(_pairs(near.join(ends[0], "a").join(ends[1], "b"), "a_", "b_"))
+    pairs = written(met.where(_near_enough(c("a_size"), c("b_size"))), "pairs")
+    found = verified(pairs, docs, nodes)
+    discard(standing, near, pairs)
+    return found
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, root: a row for each document; near copies, and what they connect, have one root."""
     whole = written(prefixed(docs), "prefixes")
-    nodes = written(whole.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "nodes")
+    nodes = written(whole.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "nodes")
     prints = written(whole.select("doc_id", "text_hash", "node"), "prints")
     discard(whole)
+    alike = by_simhash(docs, nodes)
+    first = written(components(alike), "roots")
 
     # shingles that two nodes have at least, a share of all shingles at a time, so that only its rows lie shuffled on disk
     heads = nodes.select("node", "size", F.posexplode("prefix").alias("at", "shingle"))
@@ -195,9 +214,11 @@ def groups(docs: DataFrame) -> DataFrame:
     centres = written(centres.select("shingle", *(c(f"centre.{x}").alias(f"of_{x}") for x in ("at", "node", "size"))), "centres")
     met = shared.join(centres, "shingle")
     some = met.where((c("of_node") != c("node")) & _near_enough(c("of_size"), c("size")) & _far_enough("of_", ""))
-    pairs = written(_pairs(some, "of_", ""), "pairs")
-    links = verified(pairs, docs, nodes)
-    roots = written(components(links), "roots")
+    sides = [first.select(c("node").alias(side), c("root").alias(f"{side}_root")) for side in "ab"]
+    pairs = _pairs(some, "of_", "").join(sides[0], "a", "left").join(sides[1], "b", "left")
+    pairs = written(pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).drop("a_root", "b_root"), "pairs")
+    known = alike.unionByName(verified(pairs, docs, nodes))
+    roots = written(components(known), "roots")
 
     # what meets and isn't in one group yet
     apart = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -207,7 +228,7 @@ def groups(docs: DataFrame) -> DataFrame:
     a, b = (left.select("shingle", *(c(x).alias(f"{side}_{x}") for x in ("at", "node", "size", "root"))) for side in "ab")
     close = (c("a_node") < c("b_node")) & (c("a_root") != c("b_root")) & _near_enough(c("a_size"), c("b_size")) & _far_enough("a_", "b_")
     more = written(_pairs(a.hint("merge").join(b, "shingle").where(close), "a_", "b_"), "pairs")
-    rooted = components(links.unionByName(verified(more, docs, nodes)))
+    rooted = components(known.unionByName(verified(more, docs, nodes)))
     found = written(prints.select("doc_id", "text_hash", "node").join(rooted, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root")), "groups")
-    discard(prints, nodes, *shares, centres, pairs, roots, apart, several, left, more)
+    discard(prints, nodes, first, *shares, centres, pairs, roots, apart, several, left, more)
     return found

@@ -39,7 +39,11 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     if not words:
         return 0
     parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.array([xxh(p, SEED) for p in parts], "<u8")
+    return bits(np.array([xxh(p, SEED) for p in parts], "<u8"))
+
+
+def bits(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes, as a signed long: the bits set in over half of them."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -121,7 +125,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of docs for each group of near copies (nearcopies): that with the smallest doc_id, nulls last, and of these the first by hash of text.
+    """One row of docs for each group of near copies (SimHash balls, then an exact check: nearcopies): that with the smallest doc_id, nulls last, and of these the first by hash of text.
 
     Rows are told by doc_id and text, so a repeated or null doc_id binds no texts together. Of rows equal in both one stays."""
     from crawlmill.llm import nearcopies

@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from crawlmill.llm import langid, media, nbest, packing, quality, recompress, sharding, simhash, toxicity, urlmodel
+from crawlmill.llm import langid, media, nbest, nearcopies, packing, quality, recompress, sharding, simhash, toxicity, urlmodel
 
 #: Columns that operators use inside; those of the input must not get in their way.
 CLASH = ["fp", "doc", "th", "key", "kept", "score", "label", "spans", "root", "shard", "part", "media"]
@@ -798,6 +798,23 @@ def test_near_copies_are_complete(spark):
     assert sorted(x["doc_id"] for x in simhash.one_of_each(df).collect()) == sorted(set(root))
 
 
+def test_one_of_each_goes_by_simhash_balls(spark, monkeypatch):
+    """What is within 3 bits and similar is linked by the balls alone, and the stage asks them."""
+    base = [words(400, k, 10_000) for k in range(6)]
+    some = base + [t + " end" for t in base] + [t[: len(t) // 2] for t in base] + ["one two", "one three", ""]
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").repartition(3)
+    whole = nearcopies.prefixed(df).cache()
+    of = {r["doc_id"]: r["node"] for r in whole.collect()}
+    sets = [nearcopies.shingles(t.encode()) for t in some]
+    near = {(a, b) for a, b in itertools.combinations(range(len(some)), 2) if bin((simhash.bits(sets[a]) ^ simhash.bits(sets[b])) & (1 << 64) - 1).count("1") <= 3 and 9 * len(set(sets[a]) & set(sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))}
+    assert len(near) >= 4
+    found = nearcopies.by_simhash(df, whole.select("node", "text_hash", "size", "fp", "prefix").distinct())
+    assert {frozenset(r) for r in found.collect()} == {frozenset((of[a], of[b])) for a, b in near}
+    asked = []
+    monkeypatch.setattr(nearcopies, "by_simhash", lambda *x, f=nearcopies.by_simhash: asked.append(f(*x)) or asked[-1])
+    assert simhash.one_of_each(df).count() == 15 and len(asked) == 1
+
+
 def test_one_of_each_tells_rows(spark, docs):
     assert words(40, 12) in {r["text"] for r in simhash.one_of_each(docs).collect()}
     other, more = words(50, 200, 5000), words(50, 201, 5000)
